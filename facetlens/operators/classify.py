@@ -33,11 +33,18 @@ NEUTRAL = "Neutral"
 # ---------------------------------------------------------------- features
 
 def char_trigrams(text) -> Column:
-    """Overlapping character trigrams of the lower-cased whole text."""
+    """Overlapping character trigrams of the lower-cased whole text.
+
+    The text is split into code points once and the trigrams are formed by
+    zipping the array with its two shifts: linear in the text length (indexed
+    ``substring`` would rescan the UTF-8 bytes for every position).
+    """
     t = F.lower(F.col(text) if isinstance(text, str) else text)
-    n = F.length(t)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(t, i, 3))) \
-        .otherwise(F.array().cast("array<string>"))
+    ch = F.regexp_extract_all(t, F.lit("(?s)."), 0)
+    big = 1 << 30
+    two = F.zip_with(ch, F.slice(ch, 2, big), lambda a, b: F.concat(a, b))
+    three = F.zip_with(two, F.slice(ch, 3, big), lambda a, b: F.concat(a, b))
+    return F.filter(three, lambda x: x.isNotNull())
 
 
 def word_tokens(text) -> Column:
@@ -208,7 +215,7 @@ def decode_polarity(preds, clause) -> Column:
     lab_id = F.regexp_extract(raw, r"^LABEL_(\d+)$", 1)
     id_map = F.create_map(*[v for k, lab in POLARITY_LABELS.items() for v in (F.lit(k), F.lit(lab))])
     mapped = F.when(raw.startswith("LABEL_"),
-                    F.coalesce(F.try_element_at(id_map, F.try_cast(lab_id, "int")), F.lit(NEUTRAL))) \
+                    F.coalesce(F.try_element_at(id_map, lab_id.try_cast("int")), F.lit(NEUTRAL))) \
         .otherwise(capitalize(raw))
     mapped = F.when(mapped == "", F.lit(NEUTRAL)).otherwise(mapped)
     c = F.col(clause) if isinstance(clause, str) else clause
@@ -230,10 +237,11 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, key: str, text_col: str,
     when one of the two previous tokens is a negation. Output: (key, score, polarity).
     """
     toks = F.filter(F.split(F.lower(F.col(text_col)), r"[^a-z]+"), lambda x: x != "")
-    ctx = F.transform(toks, lambda t, i: F.struct(
-        t.alias("entry"),
-        F.when(i >= 1, F.try_element_at(toks, i.cast("int"))).alias("p1"),
-        F.when(i >= 2, F.try_element_at(toks, (i - 1).cast("int"))).alias("p2")))
+    nul = F.lit(None).cast("string")
+    # each token zipped with its two predecessors (shifted copies of the array)
+    ctx = F.arrays_zip(toks.alias("entry"), F.concat(F.array(nul), toks).alias("p1"),
+                       F.concat(F.array(nul, nul), toks).alias("p2"))
+    ctx = F.filter(ctx, lambda s: s["entry"].isNotNull())
     ex = df.select(key, F.explode_outer(ctx).alias("t")).select(key, "t.entry", "t.p1", "t.p2")
     lex = sized_broadcast(lexicon.select("entry", "sign"), max_broadcast_rows)
     j = ex.join(lex, "entry", "left")

@@ -109,11 +109,12 @@ def parse_clauses(df: DataFrame, key: str, resp_col: str = "response",
                     F.col("c.term").alias("term"), F.col("c.n_markers").alias("n_markers")))
 
 
-def refine_terms_array(arr, sentence) -> Column:
+def refine_terms_array(arr, sentence, lowered: bool = False) -> Column:
     """End marker off the last clause's term; keep comma items that occur
-    (case-insensitive substring) in the sentence; join with ','."""
+    (case-insensitive substring) in the sentence; join with ','.
+    Pass column references: they are read once per clause."""
     n = F.size(arr)
-    low = F.lower(sentence)
+    low = sentence if lowered else F.lower(sentence)
 
     def fix(c, i):
         term = F.when(i == n - 1, strip_ws(F.replace(c["term"], F.lit(END_MARKER), F.lit("")))).otherwise(c["term"])
@@ -125,9 +126,15 @@ def refine_terms_array(arr, sentence) -> Column:
 
 
 def split_and_refine(df: DataFrame, key: str, sentence_col: str, resp_col: str = "response") -> DataFrame:
-    """Split path: parse + refine, one row per clause with the sentence kept."""
-    arr = refine_terms_array(parsed_clause_array(F.col(resp_col)), F.col(sentence_col))
-    return (df.select(key, sentence_col, F.posexplode(arr).alias("clause_pos", "c"))
+    """Split path: parse + refine, one row per clause with the sentence kept.
+
+    The parsed array and the lower-cased sentence are projected first, so the
+    per-clause lambda reads them instead of recomputing them per element.
+    """
+    pre = df.select(key, sentence_col, parsed_clause_array(F.col(resp_col)).alias("_arr"),
+                    F.lower(F.col(sentence_col)).alias("_low"))
+    arr = refine_terms_array(F.col("_arr"), F.col("_low"), lowered=True)
+    return (pre.select(key, sentence_col, F.posexplode(arr).alias("clause_pos", "c"))
             .select(key, F.col(sentence_col).alias("sentence_original"), "clause_pos",
                     F.col("c.clause").alias("clause"), F.col("c.term").alias("term"),
                     F.col("c.n_markers").alias("n_markers")))
@@ -161,9 +168,8 @@ def lexicon_grams(df: DataFrame, key: str = "doc_id", text_col: str = "text",
     text order, exploded inside each row (no shuffle)."""
     keep = keep or []
     toks = F.filter(F.split(F.lower(F.col(text_col)), LEXICON_TOKEN_SPLIT), lambda x: x != "")
-    bigrams = F.transform(toks, lambda t, i: F.struct(
-        (i * 2 + 1).alias("pos"),
-        F.concat(t, F.lit(" "), F.try_element_at(toks, (i + 2).cast("int"))).alias("entry")))
+    pairs = F.zip_with(toks, F.slice(toks, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
+    bigrams = F.transform(pairs, lambda x, i: F.struct((i * 2 + 1).alias("pos"), x.alias("entry")))
     grams = F.concat(
         F.transform(toks, lambda t, i: F.struct((i * 2).alias("pos"), t.alias("entry"))),
         F.filter(bigrams, lambda s: s["entry"].isNotNull()))

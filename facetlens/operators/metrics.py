@@ -85,8 +85,16 @@ def rouge_l_f(g_tokens: Column, p_tokens: Column) -> Column:
         2 * prec * rec / (prec + rec))
 
 
-def rouge_l_col(g: Column, p: Column) -> Column:
-    return F.coalesce(F.avg(rouge_l_f(rouge_tokens(g), rouge_tokens(p))), F.lit(0.0))
+def rouge_l_col(g_tokens: Column, p_tokens: Column) -> Column:
+    """Mean ROUGE-L F over rows. Pass references to projected token columns:
+    the DP lambdas read them once per cell."""
+    return F.coalesce(F.avg(rouge_l_f(g_tokens, p_tokens)), F.lit(0.0))
+
+
+def rouge_l(df: DataFrame, g: str, p: str) -> DataFrame:
+    """(n, rouge_l): tokens are projected first, then one aggregate."""
+    t = df.select(rouge_tokens(g).alias("_g"), rouge_tokens(p).alias("_p"))
+    return t.agg(F.count(F.lit(1)).alias("n"), _r(rouge_l_col(F.col("_g"), F.col("_p"))).alias("rouge_l"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -185,12 +193,15 @@ def evaluate(df: DataFrame, pred_prefix: str = "pred_",
     low = df.withColumns({f.name: F.lower(F.col(f.name)) for f in df.schema.fields
                           if isinstance(f.dataType, T.StringType)})
     aggs = []
+    if rouge:
+        low = low.withColumns({c: e for k in text_fields for c, e in (
+            (f"_rg_{k}", rouge_tokens(text_key(k))), (f"_rp_{k}", rouge_tokens(text_key(pred_prefix + k))))})
     for k in text_fields:
         gk, pk = text_key(k), text_key(pred_prefix + k)
         aggs += [exact_match_f1_col(gk, pk).alias(f"{k}_exact_match_f1"),
                  token_f1_col(gk, pk).alias(f"{k}_token_f1")]
         if rouge:
-            aggs.append(rouge_l_col(gk, pk).alias(f"{k}_rouge_l"))
+            aggs.append(rouge_l_col(F.col(f"_rg_{k}"), F.col(f"_rp_{k}")).alias(f"{k}_rouge_l"))
         if f"{k}_vec" in df.columns and f"{pred_prefix}{k}_vec" in df.columns:
             aggs.append(F.coalesce(F.avg(cosine(F.col(f"{k}_vec"), F.col(f"{pred_prefix}{k}_vec"))),
                                    F.lit(0.0)).alias(f"{k}_embedding_sim"))

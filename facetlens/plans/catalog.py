@@ -555,3 +555,512 @@ def q_match_lexicon(spark, sf):
     d = tbl(spark, sf, "documents")
     lex = CL.frequent_lexicon(CL.lexicon_grams(d.where(F.col("lang") == "en"), "doc_id", "text"), 30, 10)
     return CL.match_lexicon(d, lex, "doc_id", "text")
+
+
+# ============================================================ D. classification
+
+def _nb_sql(feat_expr: str, pred_where: str = "TRUE") -> str:
+    """CTEs fd/c/docs/tot/cls (training) and pred(doc_id, pred, score) (scoring)."""
+    return f"""
+fd AS (SELECT doc_id, lang AS label, text, {feat_expr} AS fl FROM documents),
+g AS (SELECT label, unnest(fl) AS feature FROM fd),
+c AS (SELECT label, feature, count(*) AS c FROM g GROUP BY 1, 2),
+docs AS (SELECT label, count(*) AS n_docs FROM fd GROUP BY 1),
+tot AS (SELECT label, sum(c) AS n_features, count(*) AS n_distinct FROM c GROUP BY 1),
+vv AS (SELECT count(DISTINCT feature) AS v FROM c),
+cls AS (SELECT d.label, ln(d.n_docs / (SELECT sum(n_docs) FROM docs)) AS prior,
+               CAST(coalesce(t.n_features, 0) AS DOUBLE) + (SELECT v FROM vv) AS denom
+        FROM docs d LEFT JOIN tot t USING (label)),
+pd AS (SELECT doc_id, fl FROM fd WHERE {pred_where}),
+kc AS (SELECT doc_id, feature, count(*) AS cnt FROM (SELECT doc_id, unnest(fl) AS feature FROM pd)
+       WHERE feature IN (SELECT feature FROM c) GROUP BY 1, 2),
+sc AS (SELECT kc.doc_id, cls.label, sum(kc.cnt * ln((coalesce(c.c, 0) + 1.0) / cls.denom)) AS s
+       FROM kc CROSS JOIN cls LEFT JOIN c ON c.feature = kc.feature AND c.label = cls.label GROUP BY 1, 2),
+fl AS (SELECT pd.doc_id, cls.label, cls.prior + coalesce(sc.s, 0) AS t
+       FROM pd CROSS JOIN cls LEFT JOIN sc ON sc.doc_id = pd.doc_id AND sc.label = cls.label),
+mx AS (SELECT doc_id, max(t) AS m FROM fl GROUP BY 1),
+pred AS (SELECT fl.doc_id, min(fl.label) FILTER (WHERE fl.t = mx.m) AS pred, 1.0 / sum(exp(fl.t - mx.m)) AS score
+         FROM fl JOIN mx USING (doc_id) GROUP BY fl.doc_id)
+"""
+
+
+_TRIGRAMS_SQL = "list_transform(range(1, length(lower(text)) - 1), lambda i: substr(lower(text), i, 3))"
+_WORDS_SQL = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_NONBLANK = f"{S.strip('text')} <> ''"
+
+
+def _lang_model(spark, sf):
+    d = tbl(spark, sf, "documents")
+    return d, CF.fit_language_model(d, "text", "lang")
+
+
+@query("lang_train", f"""
+WITH {_nb_sql(_TRIGRAMS_SQL)}
+SELECT d.label, d.n_docs, coalesce(t.n_features, 0) AS n_features, coalesce(t.n_distinct, 0) AS n_distinct
+FROM docs d LEFT JOIN tot t USING (label)
+""")
+def q_lang_train(spark, sf):
+    _, m = _lang_model(spark, sf)
+    return m.class_stats.select("label", "n_docs", "n_features", "n_distinct")
+
+
+_LANG_PRED_SQL = f"""
+WITH {_nb_sql(_TRIGRAMS_SQL, _NONBLANK)}
+SELECT d.doc_id, d.lang, coalesce(p.pred, '') AS pred_lang FROM documents d LEFT JOIN pred p USING (doc_id)
+"""
+
+
+@query("lang_predict", _LANG_PRED_SQL)
+def q_lang_predict(spark, sf):
+    d, m = _lang_model(spark, sf)
+    return CF.detect_language(m, d, "doc_id").join(d.select("doc_id", "lang"), "doc_id").select(
+        "doc_id", "lang", "pred_lang")
+
+
+@query("lang_gate", f"""
+SELECT doc_id, pred_lang, pred_lang = 'en' AS is_target FROM ({_LANG_PRED_SQL})
+""")
+def q_lang_gate(spark, sf):
+    d, m = _lang_model(spark, sf)
+    return CF.language_gate(m, d.select("doc_id", "text"), "doc_id").select("doc_id", "pred_lang", "is_target")
+
+
+@query("translation_route", f"""
+SELECT CASE WHEN l.pred_lang = 'en' THEN 'pass' ELSE 'translate' END AS route, count(*) AS n,
+       count(DISTINCT d.text) FILTER (WHERE l.pred_lang <> 'en') AS n_distinct_to_translate
+FROM ({_LANG_PRED_SQL}) l JOIN documents d USING (doc_id) GROUP BY 1
+""")
+def q_translation_route(spark, sf):
+    d, m = _lang_model(spark, sf)
+    r = CF.route_translation(CF.language_gate(m, d.select("doc_id", "text"), "doc_id"))
+    return r.groupBy("route").agg(F.count(F.lit(1)).alias("n"),
+                                  F.countDistinct("to_translate").alias("n_distinct_to_translate"))
+
+
+@query("label_index", """
+SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id
+FROM (SELECT DISTINCT event_type AS label FROM events WHERE event_type IS NOT NULL)
+""")
+def q_label_index(spark, sf):
+    return CF.label_index(tbl(spark, sf, "events"), "event_type")
+
+
+@query("stratified_split", """
+WITH h AS (SELECT doc_id, lang, ((doc_id % 2147483647) * 2654435761 + 42) % 4294967296 AS hv FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY hv, doc_id) AS rn,
+             count(*) OVER (PARTITION BY lang) AS n FROM h)
+SELECT lang, CASE WHEN rn <= ceil(0.1 * n) THEN 'test' ELSE 'train' END AS split, count(*) AS n,
+       CAST(sum(doc_id) AS BIGINT) AS id_sum
+FROM r GROUP BY 1, 2
+""")
+def q_stratified_split(spark, sf):
+    s = CF.stratified_split(tbl(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.1, 42)
+    return s.groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("id_sum"))
+
+
+def _word_model(spark, sf):
+    d = tbl(spark, sf, "documents")
+    return d, CF.fit_nb(d, "lang", CF.word_tokens("text"))
+
+
+@query("nb_train", f"""
+WITH {_nb_sql(_WORDS_SQL)}
+SELECT d.label, d.n_docs, coalesce(t.n_features, 0) AS n_features, coalesce(t.n_distinct, 0) AS n_distinct
+FROM docs d LEFT JOIN tot t USING (label)
+""")
+def q_nb_train(spark, sf):
+    _, m = _word_model(spark, sf)
+    return m.class_stats.select("label", "n_docs", "n_features", "n_distinct")
+
+
+@query("predict_category", f"""
+WITH {_nb_sql(_WORDS_SQL, _NONBLANK)}
+SELECT d.doc_id, coalesce(p.pred, 'Unknown') AS category, coalesce(round(p.score, 4), 0.0) AS category_score
+FROM documents d LEFT JOIN pred p USING (doc_id)
+""")
+def q_predict_category(spark, sf):
+    d, m = _word_model(spark, sf)
+    p = CF.predict_category(m, d, "doc_id", "text")
+    return p.select("doc_id", "category", F.round("category_score", 4).alias("category_score"))
+
+
+@query("decode_polarity", """
+WITH e AS (SELECT event_id, CASE WHEN value < 1 THEN '' ELSE event_type END AS clause,
+                  (value * 7) % 1 AS s1, (value * 13) % 1 AS s2, (value * 3) % 1 AS s3 FROM events),
+b AS (SELECT *, CASE WHEN s2 > s1 THEN (CASE WHEN s3 > s2 THEN 3 ELSE 2 END)
+                     ELSE (CASE WHEN s3 > s1 THEN 3 ELSE 1 END) END AS k FROM e)
+SELECT event_id,
+       CASE WHEN clause = '' THEN 'Neutral' WHEN k = 1 THEN 'Negative' WHEN k = 2 THEN 'Positive' ELSE 'Neutral' END
+         AS polarity,
+       CASE WHEN clause = '' THEN 0.0 ELSE round(CASE k WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END, 4) END
+         AS polarity_score
+FROM b
+""")
+def q_decode_polarity(spark, sf):
+    ev = tbl(spark, sf, "events")
+    preds = F.array(
+        F.struct(F.lit("LABEL_0").alias("label"), ((F.col("value") * 7) % 1).alias("score")),
+        F.struct(F.lit("positive").alias("label"), ((F.col("value") * 13) % 1).alias("score")),
+        F.struct(F.lit("LABEL_1").alias("label"), ((F.col("value") * 3) % 1).alias("score")))
+    clause = F.when(F.col("value") < 1, F.lit("")).otherwise(F.col("event_type"))
+    dec = CF.decode_polarity(preds, clause)
+    return ev.select("event_id", dec["polarity"].alias("polarity"), dec["polarity_score"].alias("polarity_score"))
+
+
+def _sql_list(xs) -> str:
+    return "(" + ", ".join(S.q(x) for x in xs) + ")"
+
+
+@query("lexicon_polarity", f"""
+WITH tk AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS t
+            FROM documents),
+top AS (SELECT entry, count(*) AS n FROM (SELECT unnest(t) AS entry FROM tk WHERE lang = 'en')
+        GROUP BY entry ORDER BY n DESC, entry LIMIT 40),
+lex AS (SELECT entry, CASE WHEN row_number() OVER (ORDER BY n DESC, entry) % 2 = 1 THEN 1 ELSE -1 END AS sign FROM top),
+u AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM tk),
+x AS (SELECT doc_id, t[i] AS entry, CASE WHEN i >= 2 THEN t[i - 1] END AS p1, CASE WHEN i >= 3 THEN t[i - 2] END AS p2
+      FROM u),
+s AS (SELECT x.doc_id, sum(lex.sign * CASE WHEN p1 IN {_sql_list(CL.INTENSIFIERS)} THEN 2 ELSE 1 END
+                            * CASE WHEN p1 IN {_sql_list(CL.NEGATIONS)} OR p2 IN {_sql_list(CL.NEGATIONS)}
+                                   THEN -1 ELSE 1 END) AS score
+      FROM x JOIN lex USING (entry) GROUP BY 1)
+SELECT tk.doc_id, CAST(coalesce(s.score, 0) AS BIGINT) AS score,
+       CASE WHEN coalesce(s.score, 0) > 0 THEN 'Positive' WHEN coalesce(s.score, 0) < 0 THEN 'Negative'
+            ELSE 'Neutral' END AS polarity
+FROM tk LEFT JOIN s USING (doc_id)
+""")
+def q_lexicon_polarity(spark, sf):
+    d = tbl(spark, sf, "documents")
+    lex = CF.frequent_token_lexicon(d.where(F.col("lang") == "en"), "text", 40)
+    return CF.lexicon_polarity(d, lex, "doc_id", "text")
+
+
+_CENTROID_SQL = """
+e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+cen AS (SELECT label, dim, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY 1, 2),
+cn AS (SELECT label, sqrt(sum(m * m)) AS nc FROM cen GROUP BY 1),
+vn AS (SELECT vec_id, sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS nv FROM e GROUP BY 1),
+dt AS (SELECT e.vec_id, cen.label AS cl, sum(CAST(e.x AS DOUBLE) * cen.m) AS d FROM e JOIN cen USING (dim) GROUP BY 1, 2),
+sc AS (SELECT dt.vec_id, cl, d / (nv * nc) AS cs FROM dt JOIN vn USING (vec_id) JOIN cn ON cn.label = dt.cl),
+best AS (SELECT vec_id, cl, row_number() OVER (PARTITION BY vec_id ORDER BY cs DESC, cl) AS rn FROM sc),
+p5 AS (SELECT v.vec_id, v.label AS gold, b.cl AS pred FROM embeddings v JOIN best b ON b.vec_id = v.vec_id AND b.rn = 1)
+"""
+
+
+@query("nearest_centroid", f"WITH {_CENTROID_SQL} SELECT vec_id, gold AS label, pred AS pred_label FROM p5")
+def q_nearest_centroid(spark, sf):
+    return CF.nearest_centroid(tbl(spark, sf, "embeddings"), "label", "embedding", "vec_id")
+
+
+# ============================================================ pair frames (SQL side)
+
+_P1 = """SELECT event_id, user_id, ts, value, event_type AS gold, pred FROM (
+  SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pred FROM events)
+WHERE pred IS NOT NULL"""
+_P2 = ("SELECT doc_id, coalesce(lower(CAST(quality AS VARCHAR)), 'nan') AS a, "
+       "coalesce(lower(CAST(1 - toxic AS VARCHAR)), 'nan') AS b FROM labels")
+_P3 = """SELECT a.conv_id, a.turn, a.text AS gold, b.text AS pred FROM conversations a
+JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1"""
+_FW = "[" + ", ".join(S.q(w) for w in FX.FUNCTION_WORDS) + "]"
+_P4 = f"""SELECT doc_id, coalesce(list_filter(t[1:h], lambda x: list_contains({_FW}, x))[1], '') AS gold,
+       coalesce(list_filter(t[h + 1:], lambda x: list_contains({_FW}, x))[1], '') AS pred
+FROM (SELECT doc_id, t, len(t) // 2 AS h FROM (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS t
+  FROM documents WHERE lang = 'en'))"""
+
+
+def _bucket_sql(x: str) -> str:
+    return f"CASE WHEN {x} < 20 THEN 'Negative' WHEN {x} < 60 THEN 'Neutral' ELSE 'Positive' END"
+
+
+_P7 = f"""SELECT event_id, event_type || ' ' || CAST(user_id AS VARCHAR) AS term, props AS opinion,
+       {S.capitalize('event_type')} AS category, {_bucket_sql('value')} AS polarity,
+       pet || ' ' || CAST(user_id AS VARCHAR) AS pred_term, pprops AS pred_opinion, pet AS pred_category,
+       {_bucket_sql('pv')} AS pred_polarity, event_type AS clause
+FROM (SELECT *, lag(event_type) OVER w AS pet, lag(value) OVER w AS pv, lag(props) OVER w AS pprops FROM events
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE pet IS NOT NULL"""
+
+
+def _p1(spark, sf):
+    return FX.p1_events(spark, sf)
+
+
+def _p2(spark, sf):
+    return AG.rater_pairs(FX.p2_labels(spark, sf), "a", "b", "doc_id")
+
+
+def _p5(spark, sf):
+    return CF.nearest_centroid(tbl(spark, sf, "embeddings"), "label", "embedding", "vec_id").select(
+        "vec_id", F.col("label").alias("gold"), F.col("pred_label").alias("pred"))
+
+
+def _p6(spark, sf):
+    d, m = _lang_model(spark, sf)
+    p = CF.detect_language(m, d, "doc_id")
+    return d.select("doc_id", F.col("lang").alias("gold")).join(p, "doc_id").withColumnRenamed("pred_lang", "pred")
+
+
+_P5_WITH = f"WITH {_CENTROID_SQL}"
+_P6_WITH = f"WITH {_nb_sql(_TRIGRAMS_SQL, _NONBLANK)}, p6 AS (SELECT d.doc_id, d.lang AS gold, coalesce(p.pred, '') AS pred FROM documents d LEFT JOIN pred p USING (doc_id))"
+
+
+# ============================================================ E. evaluation
+
+def _acc_sql(with_: str, src: str) -> str:
+    return (f"{with_} SELECT count(*) AS n, round(coalesce(avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END), 0.0), 6)"
+            f" AS accuracy FROM {src}")
+
+
+def _stats_sql(src: str, g: str = "gold", p: str = "pred") -> str:
+    return f"""
+conf AS (SELECT {g} AS gold, {p} AS pred, count(*) AS n FROM {src} GROUP BY 1, 2),
+gs AS (SELECT gold AS label, sum(n) AS support, sum(CASE WHEN gold = pred THEN n ELSE 0 END) AS tp FROM conf GROUP BY 1),
+ps AS (SELECT pred AS label, sum(n) AS pred_n FROM conf GROUP BY 1),
+ls AS (SELECT coalesce(gs.label, ps.label) AS label, CAST(coalesce(support, 0) AS DOUBLE) AS support,
+              CAST(coalesce(tp, 0) AS DOUBLE) AS tp, CAST(coalesce(pred_n, 0) AS DOUBLE) AS pred_n
+       FROM gs FULL OUTER JOIN ps ON gs.label = ps.label),
+st AS (SELECT *, CASE WHEN pred_n > 0 THEN tp / pred_n ELSE 0.0 END AS precision,
+              CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM ls),
+st2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END
+              AS f1 FROM st)"""
+
+
+def _macro_sql(with_: str, src: str) -> str:
+    pre = f"{with_}, " if with_ else "WITH "
+    return (f"{pre}{_stats_sql(src)} SELECT count(*) AS n_labels, round(avg(precision), 6) AS macro_precision, "
+            f"round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 FROM st2")
+
+
+@query("pair_eval", _P3)
+def q_pair_eval(spark, sf):
+    p3 = FX.p3_turns(spark, sf)
+    gold = p3.select("conv_id", "turn", "gold")
+    pred = p3.select("conv_id", "turn", "pred")
+    return ME.pair_eval(pred, gold, ["conv_id", "turn"]).select("conv_id", "turn", "gold", "pred")
+
+
+def _tk(x: str) -> str:
+    return S.strip(f"lower(coalesce(CAST({x} AS VARCHAR), 'nan'))")
+
+
+@query("exact_match_f1", f"""
+SELECT count(*) AS n, round(coalesce(count(*) FILTER (WHERE {_tk('gold')} = {_tk('pred')}) / nullif(count(*), 0), 0.0), 6)
+       AS exact_match_f1 FROM ({_P4})
+""")
+def q_exact_match_f1(spark, sf):
+    return ME.text_scores(FX.p4_function_words(spark, sf), "gold", "pred").select("n", "exact_match_f1")
+
+
+def _token_sql(src: str) -> str:
+    hit = f"list_has_any({S.tokens(_tk('gold'))}, {S.tokens(_tk('pred'))})"
+    return (f"SELECT count(*) AS n, round(coalesce(count(*) FILTER (WHERE {hit}) / nullif(count(*), 0), 0.0), 6)"
+            f" AS token_f1 FROM ({src})")
+
+
+@query("token_f1", _token_sql(_P4))
+def q_token_f1(spark, sf):
+    return ME.text_scores(FX.p4_function_words(spark, sf), "gold", "pred").select("n", "token_f1")
+
+
+@query("token_f1_turns", _token_sql(_P3))
+def q_token_f1_turns(spark, sf):
+    return ME.text_scores(FX.p3_turns(spark, sf), "gold", "pred").select("n", "token_f1")
+
+
+def _rtok(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
+def _lcs(a: str, b: str) -> str:
+    return (f"list_reduce({a}, lambda prev, x: list_reduce(range(1, len({b}) + 1), lambda acc, j: "
+            f"list_append(acc, CASE WHEN {b}[j] = x THEN prev[j] + 1 ELSE greatest(prev[j + 1], acc[j]) END), [0]), "
+            f"list_transform(range(0, len({b}) + 1), lambda i: 0))[-1]")
+
+
+def _rouge_f(ga: str, pa: str) -> str:
+    l = f"CAST({_lcs(ga, pa)} AS DOUBLE)"
+    return (f"CASE WHEN len({ga}) = 0 OR len({pa}) = 0 OR {l} = 0 THEN 0.0 ELSE "
+            f"2 * ({l} / len({pa})) * ({l} / len({ga})) / (({l} / len({pa})) + ({l} / len({ga}))) END")
+
+
+@query("rouge_l_nostem", f"""
+WITH d AS (SELECT doc_id, {_rtok('text')} AS t FROM documents),
+pr AS (SELECT {_rtok("array_to_string(t[1:8], ' ')")} AS ga, {_rtok("array_to_string(t[9:16], ' ')")} AS pa FROM d)
+SELECT count(*) AS n, round(coalesce(avg({_rouge_f('ga', 'pa')}), 0.0), 6) AS rouge_l FROM pr
+""")
+def q_rouge_l_nostem(spark, sf):
+    d = tbl(spark, sf, "documents").select(ME.rouge_tokens("text").alias("t"))
+    pr = d.select(F.array_join(F.slice("t", 1, 8), " ").alias("g"), F.array_join(F.slice("t", 9, 8), " ").alias("p"))
+    return ME.rouge_l(pr, "g", "p")
+
+
+@query("embedding_similarity", """
+WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+pr AS (SELECT a.vec_id, sum(CAST(a.x AS DOUBLE) * CAST(b.x AS DOUBLE)) AS dot,
+              sqrt(sum(CAST(a.x AS DOUBLE) * CAST(a.x AS DOUBLE))) AS na,
+              sqrt(sum(CAST(b.x AS DOUBLE) * CAST(b.x AS DOUBLE))) AS nb
+       FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND b.dim = a.dim GROUP BY a.vec_id)
+SELECT count(*) AS n_pairs, round(coalesce(avg(dot / (na * nb)), 0.0), 6) AS mean_cosine FROM pr
+""")
+def q_embedding_similarity(spark, sf):
+    e = tbl(spark, sf, "embeddings")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("pred_vec"))
+    pairs = e.select("vec_id", F.col("embedding").alias("gold_vec")).join(nxt, "vec_id")
+    return ME.embedding_similarity(pairs, "gold_vec", "pred_vec")
+
+
+@query("accuracy", _acc_sql("", f"({_P1})"))
+def q_accuracy(spark, sf):
+    return ME.accuracy(_p1(spark, sf), "gold", "pred")
+
+
+@query("accuracy_centroid", _acc_sql(_P5_WITH, "p5"))
+def q_accuracy_centroid(spark, sf):
+    return ME.accuracy(_p5(spark, sf), "gold", "pred")
+
+
+@query("accuracy_lang", _acc_sql(_P6_WITH, "p6"))
+def q_accuracy_lang(spark, sf):
+    return ME.accuracy(_p6(spark, sf), "gold", "pred")
+
+
+@query("macro_prf", _macro_sql("", f"({_P1})"))
+def q_macro_prf(spark, sf):
+    return ME.macro_prf(_p1(spark, sf), "gold", "pred")
+
+
+@query("macro_prf_centroid", _macro_sql(_P5_WITH, "p5"))
+def q_macro_prf_centroid(spark, sf):
+    return ME.macro_prf(_p5(spark, sf), "gold", "pred")
+
+
+@query("macro_prf_lang", _macro_sql(_P6_WITH, "p6"))
+def q_macro_prf_lang(spark, sf):
+    return ME.macro_prf(_p6(spark, sf), "gold", "pred")
+
+
+@query("weighted_prf", f"""
+WITH {_stats_sql(f"({_P1})")}
+SELECT round(coalesce(sum(precision * support) / sum(support), 0.0), 6) AS weighted_precision,
+       round(coalesce(sum(recall * support) / sum(support), 0.0), 6) AS weighted_recall,
+       round(coalesce(sum(f1 * support) / sum(support), 0.0), 6) AS weighted_f1,
+       CAST(sum(support) AS BIGINT) AS support FROM st2
+""")
+def q_weighted_prf(spark, sf):
+    return ME.weighted_prf(_p1(spark, sf), "gold", "pred")
+
+
+@query("classification_report", f"""
+WITH {_stats_sql(f"({_P1})")}
+SELECT label AS row_label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM st2
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM st2
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+                 CAST(sum(support) AS BIGINT) FROM st2
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+                 round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+                 CAST(sum(support) AS BIGINT) FROM st2
+""")
+def q_classification_report(spark, sf):
+    return ME.classification_report(_p1(spark, sf), "gold", "pred")
+
+
+def _evaluate_sql() -> str:
+    text_rows = []
+    for k in ("term", "opinion"):
+        g, p = _tk(f"lower({k})"), _tk(f"lower(pred_{k})")
+        hit = f"list_has_any({S.tokens(g)}, {S.tokens(p)})"
+        text_rows += [
+            f"SELECT '{k}_exact_match_f1' AS metric, count(*) FILTER (WHERE {g} = {p}) / count(*) AS score FROM p7",
+            f"SELECT '{k}_token_f1', count(*) FILTER (WHERE {hit}) / count(*) FROM p7",
+            f"SELECT '{k}_rouge_l', avg({_rouge_f(_rtok(g), _rtok(p))}) FROM p7",
+        ]
+    lab = []
+    ctes = []
+    for k in ("category", "polarity"):
+        src = f"(SELECT lower({k}) AS gold, lower(pred_{k}) AS pred FROM p7)"
+        ctes.append(_stats_sql(src).replace("conf AS", f"conf_{k} AS").replace("FROM conf", f"FROM conf_{k}")
+                    .replace("gs AS", f"gs_{k} AS").replace("ps AS", f"ps_{k} AS").replace("ls AS", f"ls_{k} AS")
+                    .replace("FROM gs FULL OUTER JOIN ps ON gs.label = ps.label",
+                             f"FROM gs_{k} gs FULL OUTER JOIN ps_{k} ps ON gs.label = ps.label")
+                    .replace("st AS", f"st_{k} AS").replace("FROM ls)", f"FROM ls_{k})")
+                    .replace("st2 AS", f"st2_{k} AS").replace("FROM st)", f"FROM st_{k})"))
+        lab += [f"SELECT '{k}_accuracy', sum(tp) / sum(support) FROM st2_{k}",
+                f"SELECT '{k}_macro_f1', avg(f1) FROM st2_{k}",
+                f"SELECT '{k}_precision', avg(precision) FROM st2_{k}",
+                f"SELECT '{k}_recall', avg(recall) FROM st2_{k}"]
+    body = "\nUNION ALL ".join(text_rows + lab)
+    return f"WITH p7 AS ({_P7}),{','.join(ctes)}\nSELECT metric, round(score, 6) AS score FROM ({body})"
+
+
+_EVAL_SQL = _evaluate_sql()
+
+
+@query("evaluate_all", _EVAL_SQL)
+def q_evaluate_all(spark, sf):
+    return ME.evaluate(FX.p7_absa_pairs(spark, sf))
+
+
+@query("metric_tables", f"""
+SELECT CASE WHEN contains(metric, 'term') OR contains(metric, 'opinion') THEN 'text' ELSE 'label' END AS table_name,
+       array_to_string(list_transform(string_split(replace(metric, '_', ' '), ' '),
+                                      lambda w: upper(w[1]) || lower(w[2:])), ' ') AS display_metric,
+       round(score, 4) AS score
+FROM ({_EVAL_SQL})
+""")
+def q_metric_tables(spark, sf):
+    return ME.metric_tables(ME.evaluate(FX.p7_absa_pairs(spark, sf)))
+
+
+@query("wrong_rows", f"""
+SELECT event_id, gold, pred FROM ({_P1}) WHERE gold IS DISTINCT FROM pred OR gold IS NULL ORDER BY event_id LIMIT 10
+""")
+def q_wrong_rows(spark, sf):
+    return ME.wrong_rows(_p1(spark, sf), "gold", "pred", "event_id", 10)
+
+
+def _err_sql(src: str, g: str, p: str) -> str:
+    wrong = f"count(*) FILTER (WHERE {g} IS DISTINCT FROM {p} OR {g} IS NULL)"
+    return (f"SELECT {wrong} AS wrong_count, count(*) AS total_count, "
+            f"round(100.0 - {wrong} / nullif(count(*), 0) * 100, 6) AS accuracy_pct FROM ({src})")
+
+
+@query("error_summary", _err_sql(_P1, "gold", "pred"))
+def q_error_summary(spark, sf):
+    return ME.error_summary(_p1(spark, sf), "gold", "pred")
+
+
+@query("error_summary_case", _err_sql(_P7, "category", "pred_category"))
+def q_error_summary_case(spark, sf):
+    return ME.error_summary(FX.p7_absa_pairs(spark, sf), "category", "pred_category")
+
+
+@query("class_error_rates", f"""
+SELECT gold, count(*) FILTER (WHERE gold IS DISTINCT FROM pred) AS wrong_count, count(*) AS total_count,
+       round(count(*) FILTER (WHERE gold IS DISTINCT FROM pred) / count(*) * 100, 6) AS error_pct,
+       round(100.0 - count(*) FILTER (WHERE gold IS DISTINCT FROM pred) / count(*) * 100, 6) AS accuracy_pct
+FROM ({_P1}) GROUP BY gold
+""")
+def q_class_error_rates(spark, sf):
+    return ME.class_error_rates(_p1(spark, sf), "gold", "pred")
+
+
+@query("term_counts", f"""
+WITH {_SPLIT_RESP_SQL},
+rt AS (SELECT array_to_string(list_filter({S.split_terms('t2')}, lambda x: instr(lower(text), lower(x)) > 0), ',') AS term
+       FROM (SELECT *, CASE WHEN clause_pos = max(clause_pos) OVER (PARTITION BY doc_id)
+                            THEN {S.strip("replace(term, '<|im_end|>', '')")} ELSE term END AS t2 FROM parsed))
+SELECT term, count(*) AS n FROM rt GROUP BY term ORDER BY n DESC, term LIMIT 20
+""")
+def q_term_counts(spark, sf):
+    out = CL.split_and_refine(_split_responses(spark, sf), "doc_id", "text")
+    return ME.value_counts(out, "term", 20)
+
+
+@query("wrong_top_terms", f"""
+SELECT term, count(*) AS n FROM ({_P7}) WHERE polarity IS DISTINCT FROM pred_polarity
+GROUP BY term ORDER BY n DESC, term LIMIT 20
+""")
+def q_wrong_top_terms(spark, sf):
+    p7 = FX.p7_absa_pairs(spark, sf)
+    return ME.value_counts(p7.where(ME.not_equal(F.col("polarity"), F.col("pred_polarity"))), "term", 20)
