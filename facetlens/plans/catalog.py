@@ -1064,3 +1064,303 @@ GROUP BY term ORDER BY n DESC, term LIMIT 20
 def q_wrong_top_terms(spark, sf):
     p7 = FX.p7_absa_pairs(spark, sf)
     return ME.value_counts(p7.where(ME.not_equal(F.col("polarity"), F.col("pred_polarity"))), "term", 20)
+
+
+# ============================================================ F. agreement
+
+def _kappa_sql(src: str) -> str:
+    return f"""
+WITH p AS ({src}), conf AS (SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2),
+labs AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS DOUBLE) AS idx
+         FROM (SELECT a AS label FROM conf UNION SELECT b FROM conf)),
+r AS (SELECT a AS label, CAST(sum(n) AS DOUBLE) AS r FROM conf GROUP BY 1),
+c AS (SELECT b AS label, CAST(sum(n) AS DOUBLE) AS c FROM conf GROUP BY 1),
+tot AS (SELECT CAST(sum(n) AS DOUBLE) AS nn FROM conf),
+obs AS (SELECT sum(CASE WHEN la.idx <> lb.idx THEN n ELSE 0 END) AS o_u, sum(abs(la.idx - lb.idx) * n) AS o_l,
+               sum((la.idx - lb.idx) * (la.idx - lb.idx) * n) AS o_q,
+               sum(CASE WHEN conf.a = conf.b THEN n ELSE 0 END) AS diag
+        FROM conf JOIN labs la ON la.label = conf.a JOIN labs lb ON lb.label = conf.b),
+ex AS (SELECT sum(CASE WHEN l1.idx <> l2.idx THEN coalesce(r.r, 0) * coalesce(c.c, 0) ELSE 0 END) AS e_u,
+              sum(abs(l1.idx - l2.idx) * coalesce(r.r, 0) * coalesce(c.c, 0)) AS e_l,
+              sum((l1.idx - l2.idx) * (l1.idx - l2.idx) * coalesce(r.r, 0) * coalesce(c.c, 0)) AS e_q
+       FROM labs l1 CROSS JOIN labs l2 LEFT JOIN r ON r.label = l1.label LEFT JOIN c ON c.label = l2.label),
+k AS (SELECT CAST(nn AS BIGINT) AS n, round(diag / nn, 6) AS agreement,
+             round(1 - o_u / nullif(e_u / nn, 0), 6) AS cohen_kappa,
+             round(1 - o_l / nullif(e_l / nn, 0), 6) AS kappa_linear,
+             round(1 - o_q / nullif(e_q / nn, 0), 6) AS kappa_quadratic FROM tot, obs, ex)
+"""
+
+
+def _band_sql(x: str) -> str:
+    parts = " ".join(f"WHEN {x} < {b} THEN {S.q(n)}" for b, n in AG.KAPPA_BANDS)
+    return f"CASE {parts} ELSE {S.q(AG.KAPPA_TOP_BAND)} END"
+
+
+_P1_AB = f"SELECT event_id, coalesce(lower(gold), 'nan') AS a, coalesce(lower(pred), 'nan') AS b FROM ({_P1})"
+
+
+def _p1_ab(spark, sf):
+    return AG.rater_pairs(_p1(spark, sf), "gold", "pred", "event_id")
+
+
+@query("load_labels", "SELECT lower(o_orderpriority) AS human_category FROM orders")
+def q_load_labels(spark, sf):
+    return AG.load_labels(spark, f"{sf}/orders.parquet", "o_orderpriority", fmt="parquet")
+
+
+@query("stack_annotators", """
+SELECT 'quality' AS annotator, lower(CAST(quality AS VARCHAR)) AS human_category FROM labels
+UNION ALL SELECT 'not_toxic', lower(CAST(1 - toxic AS VARCHAR)) FROM labels
+""")
+def q_stack_annotators(spark, sf):
+    lb = tbl(spark, sf, "labels")
+    frames = {"quality": lb.select(F.lower(F.col("quality").cast("string")).alias("human_category")),
+              "not_toxic": lb.select(F.lower((F.lit(1) - F.col("toxic")).cast("string")).alias("human_category"))}
+    return AG.stack_annotators(frames)
+
+
+@query("agreement", f"""
+SELECT count(*) AS n, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM ({_P2})
+""")
+def q_agreement(spark, sf):
+    return AG.agreement(_p2(spark, sf))
+
+
+@query("cohen_kappa", _kappa_sql(_P2) + "SELECT n, cohen_kappa FROM k")
+def q_cohen_kappa(spark, sf):
+    return AG.kappa_table(_p2(spark, sf)).select("n", "cohen_kappa")
+
+
+@query("kappa_linear", _kappa_sql(_P1_AB) + "SELECT n, kappa_linear FROM k")
+def q_kappa_linear(spark, sf):
+    return AG.kappa_table(_p1_ab(spark, sf)).select("n", "kappa_linear")
+
+
+@query("kappa_quadratic", _kappa_sql(_P1_AB) + "SELECT n, kappa_quadratic FROM k")
+def q_kappa_quadratic(spark, sf):
+    return AG.kappa_table(_p1_ab(spark, sf)).select("n", "kappa_quadratic")
+
+
+@query("kappa_band", f"""
+SELECT * FROM (
+{_kappa_sql(_P1_AB)} SELECT 'events' AS pair, cohen_kappa, {_band_sql('cohen_kappa')} AS interpretation FROM k)
+UNION ALL SELECT * FROM (
+{_kappa_sql(_P2)} SELECT 'labels' AS pair, cohen_kappa, {_band_sql('cohen_kappa')} AS interpretation FROM k)
+""")
+def q_kappa_band(spark, sf):
+    a = AG.agreement_report(_p1_ab(spark, sf)).select(F.lit("events").alias("pair"), "cohen_kappa", "interpretation")
+    b = AG.agreement_report(_p2(spark, sf)).select(F.lit("labels").alias("pair"), "cohen_kappa", "interpretation")
+    return a.unionByName(b)
+
+
+@query("agreement_report", _kappa_sql(_P2) + f"""
+SELECT n, agreement, cohen_kappa, kappa_quadratic AS weighted_kappa, {_band_sql('cohen_kappa')} AS interpretation FROM k
+""")
+def q_agreement_report(spark, sf):
+    return AG.agreement_report(_p2(spark, sf))
+
+
+def _conf_long_sql(src: str) -> str:
+    return f"""
+WITH p AS ({src}), conf AS (SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2),
+labs AS (SELECT a AS label FROM conf UNION SELECT b FROM conf)
+SELECT l1.label AS a_label, l2.label AS b_label, coalesce(conf.n, 0) AS n
+FROM labs l1 CROSS JOIN labs l2 LEFT JOIN conf ON conf.a = l1.label AND conf.b = l2.label
+"""
+
+
+@query("confusion_long", _conf_long_sql(_P1_AB))
+def q_confusion_long(spark, sf):
+    return AG.confusion_long(_p1_ab(spark, sf))
+
+
+_EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("confusion_pivot", f"""
+WITH p AS ({_P1_AB}), conf AS (SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2),
+labs AS (SELECT a AS label FROM conf UNION SELECT b FROM conf)
+SELECT labs.label, {", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE b = {S.q(x)}), 0) AS BIGINT) AS {x}" for x in _EVENT_TYPES)}
+FROM labs LEFT JOIN conf ON conf.a = labs.label GROUP BY labs.label
+""")
+def q_confusion_pivot(spark, sf):
+    piv, _ = AG.confusion_pivot(_p1_ab(spark, sf))
+    return piv
+
+
+@query("confusion_flags", _conf_long_sql(
+    "SELECT lower(l_returnflag) AS a, lower(l_linestatus) AS b FROM lineitem"))
+def q_confusion_flags(spark, sf):
+    li = tbl(spark, sf, "lineitem").withColumn("k", F.lit(0))
+    return AG.confusion_long(AG.rater_pairs(li, "l_returnflag", "l_linestatus", "k"))
+
+
+@query("disagreements", """
+SELECT doc_id, quality, toxic, 1 - toxic AS not_toxic FROM labels
+WHERE coalesce(lower(CAST(quality AS VARCHAR)), 'nan') <> coalesce(lower(CAST(1 - toxic AS VARCHAR)), 'nan')
+""")
+def q_disagreements(spark, sf):
+    lb = tbl(spark, sf, "labels").withColumn("not_toxic", F.lit(1) - F.col("toxic"))
+    return AG.disagreements(lb, "quality", "not_toxic")
+
+
+@query("disagreement_rate", f"""
+SELECT count(*) FILTER (WHERE a <> b) AS n_disagree, count(*) AS n,
+       round(count(*) FILTER (WHERE a <> b) / count(*) * 100, 6) AS disagree_pct FROM ({_P2})
+""")
+def q_disagreement_rate(spark, sf):
+    return AG.disagreement_rate(_p2(spark, sf))
+
+
+@query("per_category_agreement", f"""
+SELECT category, count(*) AS n_samples, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) AS agreement
+FROM (SELECT a, b, unnest(list_distinct([a, b])) AS category FROM ({_P1_AB})) GROUP BY category
+""")
+def q_per_category_agreement(spark, sf):
+    return AG.per_category_agreement(_p1_ab(spark, sf))
+
+
+# ============================================================ G. reporting
+
+_EV_SCORED = f"SELECT event_id, event_type AS category, {_bucket_sql('value')} AS polarity, value AS score FROM events"
+
+
+def _ev_scored(spark, sf):
+    ev = tbl(spark, sf, "events")
+    return ev.select("event_id", F.col("event_type").alias("category"),
+                     RP.bucket_polarity("value").alias("polarity"), F.col("value").alias("score"))
+
+
+@query("summary_cube", f"""
+SELECT category, polarity, GROUPING(category, polarity) AS grouping_id, count(*) AS n,
+       round(avg(score), 6) AS mean_score FROM ({_EV_SCORED}) GROUP BY CUBE (category, polarity)
+""")
+def q_summary_cube(spark, sf):
+    return RP.summary_cube(_ev_scored(spark, sf))
+
+
+@query("summary_rollup", f"""
+SELECT category, polarity, GROUPING(category, polarity) AS grouping_id, count(*) AS n,
+       round(avg(score), 6) AS mean_score FROM ({_EV_SCORED}) GROUP BY ROLLUP (category, polarity)
+""")
+def q_summary_rollup(spark, sf):
+    return RP.summary_cube(_ev_scored(spark, sf), rollup=True)
+
+
+@query("term_weights", f"""
+WITH t AS (SELECT unnest(string_split({S.clean('text')}, ' ')) AS token FROM documents),
+c AS (SELECT token, count(*) AS n FROM t WHERE token <> '' GROUP BY token ORDER BY n DESC, token LIMIT 50)
+SELECT token, n, round(n / max(n) OVER (), 6) AS weight FROM c
+""")
+def q_term_weights(spark, sf):
+    return RP.term_weights(tbl(spark, sf, "documents"), "text", 50)
+
+
+@query("filter_results", f"""
+SELECT event_id, category, polarity FROM ({_EV_SCORED}) WHERE category IN ('click', 'view') AND polarity = 'Positive'
+""")
+def q_filter_results(spark, sf):
+    return RP.filter_results(_ev_scored(spark, sf), ["click", "view"], "Positive").select(
+        "event_id", "category", "polarity")
+
+
+@query("score_summary", """
+SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_score,
+       round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY event_type
+""")
+def q_score_summary(spark, sf):
+    return RP.score_summary(tbl(spark, sf, "events"), "event_type", "value")
+
+
+# ============================================================ H. streaming
+
+@query("stream_score", f"""
+WITH cl AS ({_CLAUSES_SQL}), n AS (SELECT doc_id, count(*) AS n_clauses FROM cl GROUP BY doc_id)
+SELECT d.doc_id, len({S.tokens(S.clean('d.text'))}) AS n_words, coalesce(n.n_clauses, 0) AS n_clauses
+FROM documents d LEFT JOIN n USING (doc_id)
+""")
+def q_stream_score(spark, sf):
+    from facetlens import streaming as ST
+    docs = tbl(spark, sf, "documents")
+    sdf = ST.read_stream(spark, f"{sf}/documents.parquet", docs.schema)
+    out, _ = ST.run_available(ST.score_stream(sdf), "stream_score", "append")
+    return out.select("doc_id", F.col("n_words").cast("int").alias("n_words"), "n_clauses")
+
+
+@query("stream_counts", """
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+       event_type, count(*) AS n FROM events GROUP BY ALL
+""")
+def q_stream_counts(spark, sf):
+    from facetlens import streaming as ST
+    ev = tbl(spark, sf, "events")
+    sdf = ST.read_stream(spark, f"{sf}/events.parquet", ev.schema)
+    out, _ = ST.run_available(ST.windowed_counts(sdf, "ts", "event_type", "1 hour", "2 hours"),
+                              "stream_counts", "complete")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), "event_type", "n")
+
+
+@query("stream_progress")
+def q_stream_progress(spark, sf):
+    from facetlens import streaming as ST
+    ev = tbl(spark, sf, "events")
+    sdf = ST.read_stream(spark, f"{sf}/events.parquet", ev.schema)
+    _, progress = ST.run_available(sdf.select("event_id", "event_type"), "stream_progress", "append")
+    return ST.progress_frame(spark, [p for p in progress if p["numInputRows"] > 0])
+
+
+# ============================================================ K. composed runs
+
+def _run_models(spark, sf):
+    from facetlens.plans import runs as RU  # noqa: F401
+    d = tbl(spark, sf, "documents")
+    lang = CF.fit_language_model(d, "text", "lang")
+    cat = CF.fit_nb(d, "lang", CF.word_tokens("text"))
+    lex = CF.frequent_token_lexicon(d.where(F.col("lang") == "en"), "text", 40)
+    return d, lang, cat, lex
+
+
+@query("full_batch")
+def q_full_batch(spark, sf):
+    from facetlens.plans import runs as RU
+    d, lang, cat, lex = _run_models(spark, sf)
+    return RU.run_full(d.select("doc_id", "text"), "doc_id", "text", lang, cat, lex)
+
+
+@query("simple_batch", f"""
+WITH d AS (SELECT doc_id, text, {S.tokens('text')} AS tk FROM documents),
+r AS (SELECT doc_id, text, {_RESP_LIST_SQL.format(label='Term')} AS tr, {_RESP_LIST_SQL.format(label='Opinion')} AS orr
+      FROM d)
+SELECT doc_id, text AS sentence, text AS clause,
+       array_to_string(list_filter({S.split_terms(S.strip_markers('tr', 'Term'))}, lambda t: {S.whole_word('t', 'text')}), ', ') AS term,
+       array_to_string(list_filter({S.split_terms(S.strip_markers('orr', 'Opinion'))}, lambda t: {S.whole_word('t', 'text')}), ', ') AS opinion
+FROM r
+""")
+def q_simple_batch(spark, sf):
+    from facetlens.plans import runs as RU
+    good, _bad = RU.run_simple(tbl(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return good
+
+
+@query("scored_run")
+def q_scored_run(spark, sf):
+    from facetlens.plans import runs as RU
+    d, _lang, cat, lex = _run_models(spark, sf)
+    out = RU.run_scored(d.select("doc_id", "text"), "doc_id", "text", cat, lex)
+    return out.withColumn("category_score", F.round("category_score", 4))
+
+
+@query("file_run")
+def q_file_run(spark, sf):
+    from facetlens.plans import runs as RU
+    d, _lang, cat, lex = _run_models(spark, sf)
+    nested = RU.run_file(spark, f"{sf}/documents.parquet", "parquet", cat, lex)
+    return nested.select("review_id", F.size("aspects").alias("n_aspects"))
+
+
+@query("train_run")
+def q_train_run(spark, sf):
+    from facetlens.plans import runs as RU
+    fitted = RU.fit_category(tbl(spark, sf, "documents"), "doc_id", "text", "lang")
+    return RU.category_report(fitted, "lang")
