@@ -49,8 +49,9 @@ def split_clauses(df: DataFrame, key: str = "doc_id", text_col: str = "text") ->
 def audit_clauses(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per review: clause count, every clause a substring of the sentence,
     share of the sentence's non-space characters covered by clauses, no blank clause."""
-    arr = clause_array(text_col)
     t = F.col(text_col)
+    df = df.select(key, text_col, clause_array(text_col).alias("_arr"))  # split once
+    arr = F.col("_arr")
     nonspace = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
     covered = F.aggregate(F.transform(arr, lambda s: nonspace(s["clause"])), F.lit(0),
                           lambda a, b: a + b)
