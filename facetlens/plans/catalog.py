@@ -1312,10 +1312,9 @@ def q_stream_progress(spark, sf):
 
 # ============================================================ K. composed runs
 
-def _run_models(spark, sf):
-    from facetlens.plans import runs as RU  # noqa: F401
+def _run_models(spark, sf, with_lang: bool = False):
     d = tbl(spark, sf, "documents")
-    lang = CF.fit_language_model(d, "text", "lang")
+    lang = CF.fit_language_model(d, "text", "lang") if with_lang else None
     cat = CF.fit_nb(d, "lang", CF.word_tokens("text"))
     lex = CF.frequent_token_lexicon(d.where(F.col("lang") == "en"), "text", 40)
     return d, lang, cat, lex
@@ -1324,7 +1323,7 @@ def _run_models(spark, sf):
 @query("full_batch")
 def q_full_batch(spark, sf):
     from facetlens.plans import runs as RU
-    d, lang, cat, lex = _run_models(spark, sf)
+    d, lang, cat, lex = _run_models(spark, sf, with_lang=True)
     return RU.run_full(d.select("doc_id", "text"), "doc_id", "text", lang, cat, lex)
 
 

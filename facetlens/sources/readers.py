@@ -132,18 +132,20 @@ def intake_filter(df: DataFrame, text_col: str, order_col: str, cap: int | None
     return cleaned.where(F.length(text_col) >= min_len)
 
 
-def global_rank(df: DataFrame, order_cols: list[str]) -> DataFrame:
-    """Add ``row_pos`` (0-based position in ``order_cols`` order) without
-    moving all rows into one partition.
-
-    The range-partitioned sort is checkpointed (so every later read sees the
-    same partitioning), per-partition row counts give each partition's start
-    offset (one small row per partition), and each row adds its index inside
-    its partition.
+def global_rank(df: DataFrame, order_cols: list[str] | None) -> DataFrame:
+    """Add ``row_pos`` (0-based position in ``order_cols`` order, or in file
+    order when ``order_cols`` is None) without moving all rows into one
+    partition.
+
+    The (range-partitioned, sorted) frame is checkpointed so every later read
+    sees the same partitioning, per-partition row counts give each partition's
+    start offset (one small row per partition), and each row adds its index
+    inside its partition.
     """
     from facetlens.session import cut_lineage
 
-    srt = df.orderBy(*order_cols).withColumns({
+    base = df.orderBy(*order_cols) if order_cols else df
+    srt = base.withColumns({
         "_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
     srt = cut_lineage(srt)
     starts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
@@ -160,6 +162,12 @@ def resume_from(df: DataFrame, n: int, order_col: str) -> DataFrame:
     return global_rank(df, [order_col]).where(F.col("row_pos") >= n).drop("row_pos")
 
 
+def with_row_position(df: DataFrame) -> DataFrame:
+    """Positional row index of a keyless file (0-based, file order), for
+    pairing files that only share row order."""
+    return global_rank(df, None)
+
+
 def resume_anti(df: DataFrame, finished: DataFrame, key: str) -> DataFrame:
     """Key-based resume: rows whose key is not yet in ``finished``."""
     return df.join(finished.select(key).distinct(), on=key, how="left_anti")
