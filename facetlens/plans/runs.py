@@ -26,7 +26,7 @@ def _responses(df: DataFrame, text_col: str, task: str, backend=None, out: str =
     """Model answers for ``text_col``: a backend via the model stage, else the rule response."""
     if backend is not None:
         return run_model(df, backend, text_col, out)
-    rule = {"split": AN.rule_split_response(F.col(text_col)),
+    rule = {"split": AN.rule_clause_response(F.col(text_col)),
             "term": AN.rule_list_response(F.col(text_col), "Term"),
             "opinion": AN.rule_list_response(F.col(text_col), "Opinion")}[task]
     return df.withColumn(out, rule).withColumn("model_status", F.lit("ok"))

@@ -83,3 +83,33 @@ def sized_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``facetlens`` importable in Python workers (once per context).
+
+    Python stages (the model stage) pickle library classes by reference; the
+    package is zipped from its installed location and added with
+    ``addPyFile``, which distributes it to every executor.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import facetlens
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(facetlens.__file__)))
+    fd, path = tempfile.mkstemp(suffix=".zip", prefix="facetlens-pkg-")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(os.path.join(root, "facetlens")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(id(sc))

@@ -75,7 +75,8 @@ def run_available(sdf: DataFrame, name: str, mode: str = "append", timeout_s: in
     q.awaitTermination(timeout_s)
     progress = q.recentProgress
     q.stop()
-    return spark.read.parquet(out), progress
+    result = spark.read.parquet(out)
+    return (result.drop("batch") if mode != "complete" else result), progress
 
 
 def progress_frame(spark: SparkSession, progress: list) -> DataFrame:
