@@ -297,3 +297,45 @@ def nearest_centroid(df: DataFrame, label: str, vec: str, key: str,
     best = F.aggregate(scored, F.try_element_at(scored, F.lit(1)),
                        lambda acc, x: F.when(x["cos"] > acc["cos"], x).otherwise(acc))
     return df.select(key, label, best["label"].alias("pred_label"))
+
+
+# ---------------------------------------------------------------- logistic regression
+
+def fit_text_lr(df: DataFrame, text_col: str, label_col: str, num_features: int = 1 << 18,
+                max_iter: int = 30, reg: float = 0.01):
+    """Text classifier as a Spark ML pipeline: tokens -> hashed term counts ->
+    IDF -> multinomial logistic regression. Labels are indexed alphabetically.
+    Hashing keeps the feature space fixed, so nothing grows with the vocabulary."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
+
+    stages = [
+        StringIndexer(inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc",
+                      handleInvalid="skip"),
+        RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+", toLowercase=True),
+        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
+        IDF(inputCol="_tf", outputCol="_features"),
+        LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=max_iter, regParam=reg,
+                           family="multinomial"),
+    ]
+    return Pipeline(stages=stages).fit(df.where(F.col(label_col).isNotNull()))
+
+
+def predict_text_lr(model, df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, category, category_score): predicted label and its probability;
+    blank text -> 'Unknown', 0.0."""
+    from pyspark.ml.functions import vector_to_array
+
+    from pyspark.ml import PipelineModel
+
+    labels = model.stages[0].labels
+    blank = strip_ws(F.coalesce(F.col(text_col), F.lit(""))) == ""
+    # scoring needs no label column: skip the label indexer stage
+    scorer = PipelineModel(stages=model.stages[1:])
+    scored = scorer.transform(df.where(~blank).select(key, text_col))
+    lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
+    out = scored.select(key, lab.alias("category"),
+                        F.array_max(vector_to_array("probability")).alias("category_score"))
+    b = df.where(blank).select(key, F.lit(UNKNOWN_CATEGORY).alias("category"), F.lit(0.0).alias("category_score"))
+    return out.unionByName(b)

@@ -1363,3 +1363,13 @@ def q_train_run(spark, sf):
     from facetlens.plans import runs as RU
     fitted = RU.fit_category(tbl(spark, sf, "documents"), "doc_id", "text", "lang")
     return RU.category_report(fitted, "lang")
+
+
+@query("lr_category")
+def q_lr_category(spark, sf):
+    d = tbl(spark, sf, "documents")
+    split = CF.stratified_split(d.select("doc_id", "text", "lang"), "lang", "doc_id", 0.1, 42)
+    model = CF.fit_text_lr(split.where(F.col("split") == "train"), "text", "lang")
+    test = split.where(F.col("split") == "test")
+    pred = CF.predict_text_lr(model, test, "doc_id", "text").join(test.select("doc_id", "lang"), "doc_id")
+    return ME.accuracy(pred, "lang", "category")

@@ -52,11 +52,14 @@ def run_full(df: DataFrame, key: str, text_col: str, lang_model: CF.NBModel, cat
     clauses = CL.split_and_refine(r, key, text_col)
     clauses = clauses.where(F.col("n_markers") <= 1)
     clauses = clauses.withColumn("_ck", F.struct(F.col(key), F.col("clause_pos")))
-    ops = _responses(clauses, "sentence_original", "opinion", opinion_backend, "opinion_response")
-    ops = CL.parse_opinions(ops, "sentence_original", "opinion_response")
+    # The opinion request carries the whole sentence (as the batch package
+    # does), so it is answered and validated once per review, not per clause.
+    rev = t.select(key, text_col)
+    ops = _responses(rev, text_col, "opinion", opinion_backend, "opinion_response")
+    ops = CL.parse_opinions(ops, text_col, "opinion_response").select(key, "opinion")
     cat = CF.predict_category(category_model, clauses.select("_ck", "clause"), "_ck", "clause")
     pol = CF.lexicon_polarity(clauses.select("_ck", "clause"), lexicon, "_ck", "clause")
-    out = (ops.join(cat, "_ck").join(pol, "_ck")
+    out = (clauses.join(ops, key).join(cat, "_ck").join(pol, "_ck")
            .withColumns({"sentence_index": F.col(key) + 1,
                          "polarity_score": F.col("score").cast("double")}))
     return SK.project_result_order(out)
