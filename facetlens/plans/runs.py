@@ -81,9 +81,11 @@ def run_simple(df: DataFrame, key: str, text_col: str, term_backend=None, opinio
 
 
 def run_scored(df: DataFrame, key: str, text_col: str, category_model: CF.NBModel, lexicon: DataFrame,
-               split_backend=None, batch_size: int = 32) -> DataFrame:
+               split_backend=None, batch_size: int = 32, with_sentence: bool = True) -> DataFrame:
     """Online chain over a table: split + terms -> numbered opinion batches
-    (cut inside each review row) -> demux -> category with score -> polarity."""
+    (cut inside each review row) -> demux -> category with score -> polarity.
+    ``with_sentence=False`` leaves the review text off the per-clause rows
+    (callers that nest per review attach it once per review instead)."""
     r = _responses(df.select(key, text_col), text_col, "split", split_backend)
     pre = r.select(key, text_col, CL.parsed_clause_array(F.col("response")).alias("_arr"),
                    F.lower(F.col(text_col)).alias("_low"))
@@ -96,10 +98,12 @@ def run_scored(df: DataFrame, key: str, text_col: str, category_model: CF.NBMode
     d = d.withColumn("_ck", F.struct(F.col(key), F.col("batch_id"), F.col("item_no")))
     cat = CF.predict_category(category_model, d.select("_ck", "clause"), "_ck", "clause")
     pol = CF.lexicon_polarity(d.select("_ck", "clause"), lexicon, "_ck", "clause")
-    out = d.join(cat, "_ck").join(pol, "_ck").join(df.select(key, F.col(text_col).alias("sentence_original")), key)
+    out = d.join(cat, "_ck").join(pol, "_ck")
+    if with_sentence:
+        out = out.join(df.select(key, F.col(text_col).alias("sentence_original")), key)
     out = out.withColumn("polarity_score", F.col("score").cast("double"))
-    cols = ["clause", "term", "opinion", "category", "category_score", "polarity", "polarity_score",
-            "sentence_original"]
+    cols = ["clause", "term", "opinion", "category", "category_score", "polarity", "polarity_score"]
+    cols += ["sentence_original"] if with_sentence else []
     return out.select(key, "batch_id", "item_no", *cols)
 
 
@@ -110,13 +114,17 @@ def run_file(spark: SparkSession, path: str, fmt: str, category_model: CF.NBMode
     raw = RD.with_text(RD.read_reviews(spark, path, fmt), "review")
     raw = raw.withColumn("review_id", F.monotonically_increasing_id()).select("review_id", "review")
     gated = RD.intake_filter(raw, "review", "review_id", cap=cap)
-    scored = run_scored(gated, "review_id", "review", category_model, lexicon)
+    scored = run_scored(gated, "review_id", "review", category_model, lexicon, with_sentence=False)
     filled = HY.fill_defaults(scored, ["clause", "term", "opinion", "category", "polarity"],
                               ["category_score", "polarity_score"])
     filled = filled.withColumn("pos", F.col("batch_id") * 1_000_000 + F.col("item_no"))
-    return SK.nest_aspects(filled, "review_id", "pos",
-                           ["clause", "term", "opinion", "category", "category_score", "polarity",
-                            "polarity_score"], text_col="sentence_original")
+    nested = SK.nest_aspects(filled, "review_id", "pos",
+                             ["clause", "term", "opinion", "category", "category_score", "polarity",
+                              "polarity_score"])
+    # the review text joins once per nested review, not once per clause; a
+    # review without clauses keeps its row with an empty aspect list
+    out = gated.select("review_id", "review").join(nested, "review_id", "left")
+    return out.withColumn("aspects", F.coalesce("aspects", F.array().cast(nested.schema["aspects"].dataType)))
 
 
 @dataclass

@@ -169,11 +169,12 @@ def test_file_job_nests_every_review(spark, cap):
     from facetlens.plans import runs as RU
     d = _tmp()
     with open(f"{d}/u.csv", "w") as f:
-        f.write('review\nThe room was clean and the staff friendly\nok\n"Breakfast was cold, but cheap"\n')
+        f.write('review\nThe room was clean and the staff friendly\nok\n"Breakfast was cold, but cheap"\n!!!\n')
     train = spark.read.parquet(f"{SF}/documents.parquet")
     model = CF.fit_nb(train, "lang", CF.word_tokens("text"))
     lex = spark.createDataFrame([("clean", 1), ("cold", -1), ("cheap", 1)], "entry string, sign int")
     nested = RU.run_file(spark, f"{d}/u.csv", "csv", model, lex, cap=cap).collect()
-    assert len(nested) == 2       # 'ok' is below the length gate
+    assert len(nested) == 3       # 'ok' is below the length gate; '!!!' has no clause
+    assert {r.review: len(r.aspects) for r in nested}["!!!"] == 0
     by_review = {r.review: r.aspects for r in nested}
     assert [a.clause for a in by_review["Breakfast was cold, but cheap"]] == ["Breakfast was cold", "cheap"]
