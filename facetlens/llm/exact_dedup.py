@@ -38,11 +38,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     salted = (base.join(F.broadcast(hot), "h", "left")
               .withColumn("salt", F.when(F.col("n_salts").isNull(), F.lit(0))
                           .otherwise(F.pmod(F.xxhash64("doc_id"), F.col("n_salts")).cast("int") + 1))
-              .drop("h", "n_salts"))
-    ordered = (salted.repartitionByRange(parts, "body", "salt")
-               .sortWithinPartitions("body", "salt", F.asc_nulls_last("doc_id")))
-    run = Window.partitionBy("body", "salt").orderBy(F.asc_nulls_last("doc_id"))
-    whole = Window.partitionBy("body", "salt")
+              .withColumn("head", F.substring("body", 1, 48)).drop("n_salts"))
+    # splitters are sampled from the leading characters (a hash splits texts that share
+    # them), so that the sample the driver draws stays small; full texts are compared below
+    equal = ["head", "h", "salt", "body"]
+    ordered = (salted.repartitionByRange(parts, "head", "h", "salt")
+               .sortWithinPartitions(*equal, F.asc_nulls_last("doc_id")))
+    run = Window.partitionBy(*equal).orderBy(F.asc_nulls_last("doc_id"))
+    whole = Window.partitionBy(*equal)
     found = kept_table(ordered.select(
         "doc_id", "salt", F.sha2("body", 256).alias("text_sha256"),
         F.row_number().over(run).alias("nth"),
