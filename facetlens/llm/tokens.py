@@ -83,7 +83,7 @@ class ChunkIds:
 class WordEncoder(ChunkIds):
     """Encodes lists of texts; caches at most ``max_words`` chunks."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 700_000):
         import os
 
         import regex
@@ -115,7 +115,12 @@ class WordEncoder(ChunkIds):
         else:
             return self._library(word), 0.0
         ids: list[int] = []
-        for piece in ([low] if low.isascii() and low.isalpha() else self.split(low)):
+        if low.isascii():   # a word, perhaps with one closing mark, needs no pattern
+            pieces = ([low] if low.isalpha() else [low[:-1], low[-1]] if low[-1] in ".,;:!?" and low[:-1].isalpha()
+                      else self.split(low))
+        else:
+            pieces = self.split(low)
+        for piece in pieces:
             got = self.pieces.get(piece)
             if got is None:
                 spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.spell)
@@ -143,7 +148,7 @@ class WordEncoder(ChunkIds):
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(name: str = WORD_BPE, max_words: int = 400_000) -> WordEncoder:
+def encoder(name: str = WORD_BPE, max_words: int = 700_000) -> WordEncoder:
     """The worker's encoder for a public tokenizer file (kept between tasks)."""
     import public_tokenizers
 
