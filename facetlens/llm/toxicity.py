@@ -55,20 +55,30 @@ def letter_mask(word: str) -> int:
 
 
 class Trie:
-    """Lexicon trie; ``near`` intersects it with the Levenshtein automaton of a word."""
+    """Lexicon trie; ``near`` intersects it with the Levenshtein automaton of a word.
+
+    An index of term parts that survive the edits names the few terms a word can
+    be close to, and only the branches that lead to those are walked.
+    """
 
     def __init__(self, terms: list[str]):
         self.terms = list(terms)
-        self.root: dict = {}
-        self.ends: dict[int, int] = {}
-        # word length -> [(head letters, tail letters, {key: terms})], see may_match
-        self.index: dict[int, dict[tuple[int, int], dict[str, list]]] = {}
+        self.exact = {t: k for k, t in enumerate(self.terms)}
+        # a node: children, term that ends here or -1, terms below as a range of alphabetical places
+        by_name = sorted(range(len(self.terms)), key=lambda k: self.terms[k])
+        self.place = [0] * len(by_name)
+        self.root: list = [{}, -1, 0, len(by_name)]
+        for at, k in enumerate(by_name):
+            self.place[k] = at
+            node = self.root
+            for c in self.terms[k]:
+                node = node[0].setdefault(c, [{}, -1, at, at])
+                node[3] = at + 1
+            node[1] = k
+        # word length -> [(head letters, tail start, {key: terms})], see candidates
+        index: dict[int, dict[tuple[int, int], dict[str, list]]] = {}
         self.inner: dict[int, dict[int, dict[str, list]]] = {}
         for k, t in enumerate(self.terms):
-            node = self.root
-            for c in t:
-                node = node.setdefault(c, {})
-            self.ends[id(node)] = k
             e = edits_allowed(len(t))
             if not e:
                 continue
@@ -76,28 +86,25 @@ class Trie:
             one, two, three = (t[a:b] for a, b in zip(cuts, cuts[1:]))
             # one edit leaves two of three parts intact, two edits leave one
             keys = [(one + two, ""), ("", two + three), (one, three)] if e == 1 else [(one, ""), ("", three)]
+            entry = (self.place[k], letter_mask(t), e)
             for n in range(len(t) - e, len(t) + e + 1):
                 for head, tail in keys:
-                    (self.index.setdefault(n, {}).setdefault((len(head), len(tail)), {})
-                     .setdefault(head + tail, []).append((letter_mask(t), e)))
+                    (index.setdefault(n, {}).setdefault((len(head), len(tail)), {})
+                     .setdefault(head + tail, []).append(entry))
                 if e == 2:
-                    self.inner.setdefault(n, {}).setdefault(len(two), {}).setdefault(two, []).append((letter_mask(t), e))
-        self.shapes = {n: [(h, n - t, found) for (h, t), found in x.items()] for n, x in self.index.items()}
-        self.exact = {t: k for k, t in enumerate(self.terms)}
+                    self.inner.setdefault(n, {}).setdefault(len(two), {}).setdefault(two, []).append(entry)
+        self.shapes = {n: [(h, n - t, found) for (h, t), found in x.items()] for n, x in index.items()}
 
-    def may_match(self, word: str) -> bool:
-        """False only if no term is within its edits of ``word``.
+    def candidates(self, word: str) -> set[int]:
+        """Places of all terms that can be within their edits of ``word``.
 
         A term within ``e`` edits shares an intact part with the word, differs
         in length by at most ``e`` and in its set of letters by at most ``e``
         letters either way.
         """
         n = len(word)
-        shapes = self.shapes.get(n)
-        if shapes is None:
-            return False
-        lists = []
-        for head, tail, found in shapes:
+        lists: list = []
+        for head, tail, found in self.shapes.get(n, ()):
             got = found.get(word[:head] + word[tail:])
             if got:
                 lists += got
@@ -107,16 +114,18 @@ class Trie:
                 if got:
                     lists += got
         if not lists:
-            return False
+            return set()
         mine = letter_mask(word)
-        return any((mask & ~mine).bit_count() <= e and (mine & ~mask).bit_count() <= e for mask, e in lists)
+        return {p for p, mask, e in lists
+                if (mask & ~mine).bit_count() <= e and (mine & ~mask).bit_count() <= e}
 
     def near(self, word: str) -> tuple[int, int] | None:
         """(term, distance) of the closest term within its edits; ties to the first term."""
         got = self.exact.get(word)
         if got is not None:
             return got, 0
-        if not self.may_match(word):
+        wanted = self.candidates(word)
+        if not wanted:
             return None
         n, best = len(word), None
         # automaton state: bit i of level d means i letters of the word read with d edits
@@ -124,26 +133,26 @@ class Trie:
         letters: dict[str, int] = {}
         for i, c in enumerate(word):
             letters[c] = letters.get(c, 0) | 1 << i
-        start = (1, 3 & every, 7 & every)
-        todo = [(self.root, start, 0)]
+        todo = [(self.root, 1, 3 & every, 7 & every, 0)]
         while todo:
-            node, (s0, s1, s2), depth = todo.pop()
-            k = self.ends.get(id(node))
-            if k is not None:
+            (children, k, _, _), s0, s1, s2, depth = todo.pop()
+            if k >= 0:
                 most = edits_allowed(depth)
                 for d, s in ((0, s0), (1, s1), (2, s2)):
                     if d <= most and s >> n & 1:
                         if best is None or (d, k) < best:
                             best = (d, k)
                         break
-            for c, child in node.items():
+            for c, child in children.items():
+                if not any(child[2] <= p < child[3] for p in wanted):
+                    continue
                 eq = letters.get(c, 0)
                 t0 = (s0 & eq) << 1
                 # same letter | term letter too many | substitution | word letter too many
                 t1 = ((s1 & eq) << 1 | s0 | s0 << 1 | t0 << 1 | t0) & every
                 t2 = ((s2 & eq) << 1 | s1 | s1 << 1 | t1 << 1 | t1) & every
                 if t0 | t1 | t2:
-                    todo.append((child, (t0, t1, t2), depth + 1))
+                    todo.append((child, t0, t1, t2, depth + 1))
         return (best[1], best[0]) if best else None
 
 
@@ -224,11 +233,13 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = 5000, contexts: int = 3, odds: float = 8.0) -> list[tuple]:
+def learn_lexicon(sample: DataFrame, max_terms: int = 5000, contexts: int = 3, share: float = 0.004,
+                  odds: float = 8.0) -> list[tuple]:
     """Terms (term, log odds) of the sample, the strongest ``max_terms`` at most.
 
-    A term needs ``contexts`` different preceding words in toxic rows, so that
-    the copies of one text count once.
+    A term needs ``contexts`` different preceding words in toxic rows, and that
+    many for a ``share`` of those rows, so that the copies of one text count
+    once and chance words of a large sample do not count.
     """
     @F.udf("array<struct<w:string, before:long>>", useArrow=True)
     def terms(text):
@@ -250,7 +261,7 @@ def learn_lexicon(sample: DataFrame, max_terms: int = 5000, contexts: int = 3, o
     # distinct (term, context) pairs per class first: copies weigh once
     pairs = each.groupBy("w", "before").agg(F.max("label").alias("toxic"), F.min("label").alias("clean_too"))
     n = pairs.groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("clean_too")).alias("b"))
-    n = n.where(F.col("a") >= contexts)
+    n = n.where(F.col("a") >= max(contexts, share * size[1]))
     n = n.withColumn("odds", F.log((F.col("a") + 0.5) / (size[1] + 1.0)) - F.log((F.col("b") + 0.5) / (size[0] + 1.0)))
     precise = F.col("a") >= 4 * F.col("b")
     got = n.where((F.col("odds") >= math.log(odds)) & precise).orderBy(F.desc(F.col("odds") * F.log1p("a")), "w").limit(max_terms)
