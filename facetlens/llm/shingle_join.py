@@ -151,7 +151,7 @@ def _least_overlap(n, m, share: int):
 
 
 def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequent: int = 200_000,
-                       group_size: int = 256, broadcast_ids: int = 1_000_000,
+                       group_size: int = 64, broadcast_ids: int = 1_000_000,
                        bucket_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
@@ -167,21 +167,32 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
     def describe(batches):
         import pyarrow as pa
 
+        names = ["doc_id", "n", "sid", "sid2", "token", "times"]
+        held, size = [], 0
+
+        def often_here():
+            # shingles that this part of the corpus holds several times
+            token = np.sort(np.concatenate(held))
+            cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            times = np.diff(np.concatenate([cut, [len(token)]]))
+            many = times >= 4
+            k = int(many.sum())
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [
+                pa.array(token[cut[many]].view(np.int64)), pa.array(times[many].astype(np.int64))], names=names)
+
         for b in batches:
             for ids, some in groups_by_size(b.column(0).to_pylist(), b.column(1).to_pylist(), 2_000_000):
                 token, per = shingle_sets(some, width)
                 a, c = set_names(token, per)
-                token.sort()
-                cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
-                times = np.diff(np.concatenate([cut, [len(token)]])) if len(token) else cut
-                many = times >= 3
-                t, k = token[cut[many]].view(np.int64), times[many]
-                empty = lambda n: pa.nulls(n, pa.int64())
-                cols = [(pa.array(ids, pa.int64()), empty(len(t))), (pa.array(per), empty(len(t))),
-                        (pa.array(a), empty(len(t))), (pa.array(c), empty(len(t))),
-                        (empty(len(ids)), pa.array(t)), (empty(len(ids)), pa.array(k.astype(np.int64)))]
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in cols],
-                                                 names=["doc_id", "n", "sid", "sid2", "token", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(per), pa.array(a), pa.array(c)]
+                                                 + [pa.nulls(len(ids), pa.int64())] * 2, names=names)
+                held.append(token)
+                size += len(token)
+                if size >= 4_000_000:
+                    yield often_here()
+                    held, size = [], 0
+        if size:
+            yield often_here()
 
     first = kept_table(texts.mapInArrow(describe, "doc_id bigint, n bigint, sid bigint, sid2 bigint, "
                                                   "token bigint, times bigint"))
@@ -267,7 +278,8 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
         fits = (np.minimum(rest, rest[lead]) >= _least_overlap(n, n[lead], share)) & (lead != np.arange(len(tok)))
         fits &= 100 * np.minimum(n, n[lead]) >= share * np.maximum(n, n[lead])
         leader = np.where(fits, sid[lead], sid)
-        keep = np.repeat(size > 1, size)
+        # a run of two that cannot link is settled
+        keep = np.repeat((size > 2) | fits[np.minimum(start + 1, len(fits) - 1)], size)
         token = int(pdf["bucket"].iloc[0]) << 32 | tok.astype(np.int64)
         return pd.DataFrame({"token": token[keep], "sid": sid[keep], "n": n[keep], "rest": rest[keep],
                              "leader": leader[keep]})
@@ -275,50 +287,72 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
     runs = kept_table(texts.mapInArrow(prefixes, "bucket int, payload binary").groupBy("bucket").applyInPandas(
         shared_runs, "token bigint, sid bigint, n bigint, rest bigint, leader bigint"))
 
-    # the sets of every class that shares an entry with another one
-    met = runs.select("sid").distinct().join(classes, "sid").select("sid", F.col("rep").alias("doc_id"))
-    met = kept_table(met)
-    wanted = F.broadcast(met) if met.count() <= broadcast_ids else met
-
-    def keep_sets(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for ids, some in groups_by_size(b.column(0).to_pylist(), b.column(1).to_pylist(), 2_000_000):
-                token, per = shingle_sets(some, width)
-                sid, _ = set_names(token, per)
-                ends = np.cumsum(per)
-                sets = [token[a:e].tobytes() for a, e in zip(ends - per, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sid), pa.array(per),
-                                                  pa.array(sets, pa.binary())], names=["wanted", "sid", "n", "tokens"])
-
-    sets = texts.join(wanted, "doc_id").select("sid", "text").mapInArrow(
-        keep_sets, "wanted bigint, sid bigint, n bigint, tokens binary")
-    sets = kept_table(sets.where("wanted = sid").select("sid", "n", "tokens").dropDuplicates(["sid"]))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Pairs (q, m) whose sets reach the threshold, by full comparison."""
-        q = sets.select(F.col("sid").alias("q"), F.col("tokens").alias("q_tokens"))
-        m = sets.select(F.col("sid").alias("m"), F.col("tokens").alias("m_tokens"))
-
-        def compare(batches):
+    rep = classes.select("sid", F.col("rep").alias("doc_id"))
+
+    def open_groups(asks: DataFrame, members: DataFrame, at_once: int) -> DataFrame:
+        """A link (q, m) for every asking class (q, gid) that reaches a member (m, gid) of the group.
+
+        The sets are made from the texts again and sent where they are compared:
+        one task compares at most ``at_once`` queries with one group.
+        """
+        cuts = kept_table(asks.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / at_once).alias("cuts")))
+        a = asks.join(cuts, "gid").select(F.col("q").alias("sid"), "gid", F.pmod(F.xxhash64("q"), "cuts").alias("part"),
+                                          F.lit(False).alias("member"))
+        m = members.join(cuts, "gid").select(F.col("m").alias("sid"), "gid", F.explode(
+            F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("part"), F.lit(True).alias("member"))
+        roles = kept_table(a.union(m).join(rep, "sid").groupBy("sid", "doc_id", F.floor(F.col("part") / 1000))
+                           .agg(F.collect_list(F.struct("gid", "part", "member")).alias("roles"))
+                           .select("doc_id", "sid", "roles"))
+        wanted = F.broadcast(roles) if roles.count() <= broadcast_ids else roles
+
+        def send(batches):
             import pyarrow as pa
 
             for b in batches:
-                good = []
-                for x, y in zip(b.column("q_tokens"), b.column("m_tokens")):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    if len(x) > len(y):
-                        x, y = y, x
+                sids, roles_ = b.column("sid").to_pylist(), b.column("roles").to_pylist()
+                for some, texts_ in groups_by_size(list(range(b.num_rows)), b.column("text").to_pylist(), 2_000_000):
+                    token, per = shingle_sets(texts_, width)
+                    name, _ = set_names(token, per)
+                    ends = np.cumsum(per)
+                    out: tuple = ([], [], [], [], [])
+                    for i, own, a, e in zip(some, name.tolist(), ends - per, ends):
+                        if own != sids[i]:   # another text under the same doc_id
+                            continue
+                        raw = token[a:e].tobytes()
+                        for r in roles_[i]:
+                            for x, v in zip(out, (r["gid"], r["part"], r["member"], own, raw)):
+                                x.append(v)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()),
+                         pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())],
+                        names=["gid", "part", "member", "sid", "tokens"])
+
+        def compare(pdf):
+            import pandas as pd
+
+            sets = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
+            inside = np.flatnonzero(pdf["member"].to_numpy(bool))
+            sid, found = pdf["sid"].to_numpy(np.int64), []
+            for i in np.flatnonzero(~pdf["member"].to_numpy(bool)):
+                x = sets[i]
+                for j in inside:
+                    y = sets[j]
+                    if 100 * min(len(x), len(y)) < share * max(len(x), len(y)):
+                        continue
                     both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    good.append(100 * both >= share * (len(x) + len(y) - both))
-                yield b.select(["q", "m"]).filter(pa.array(good, pa.bool_()))
+                    if 100 * both >= share * (len(x) + len(y) - both):
+                        found.append((sid[i], sid[j]))
+                        break                # the members of a group are connected already
+            return pd.DataFrame(found, columns=["q", "m"], dtype="int64")
 
-        return kept_table(pairs.join(q, "q").join(m, "m").mapInArrow(compare, "m bigint, q bigint").select("q", "m"))
+        sent = texts.join(wanted, "doc_id").select("sid", "roles", "text").mapInArrow(
+            send, "gid bigint, part bigint, member boolean, sid bigint, tokens binary")
+        return kept_table(sent.groupBy("gid", "part").applyInPandas(compare, "q bigint, m bigint"))
 
-    best = (runs.where("leader <> sid").groupBy("sid", "leader").agg(F.count(F.lit(1)).alias("times"))
-            .groupBy("sid").agg(F.max_by("leader", F.struct("times", "leader")).alias("m")))
-    joined = linked(best.select(F.col("sid").alias("q"), "m"))
+    best = kept_table(runs.where("leader <> sid").groupBy("sid", "leader").agg(F.count(F.lit(1)).alias("times"))
+                      .groupBy("sid").agg(F.max_by("leader", F.struct("times", "leader")).alias("gid"))
+                      .select(F.col("sid").alias("q"), "gid"))
+    joined = open_groups(best, best.select(F.col("gid").alias("m"), "gid").distinct(), 64)
 
     # groups: a leader with the classes it linked; a leader that joined another one points there
     above = joined.select(F.col("q").alias("m"), F.col("m").alias("above"))
@@ -329,7 +363,7 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
     cuts = group.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / group_size).alias("cuts"))
     group = group.join(cuts, "group").select("sid", "group", F.when(F.col("cuts") > 1, F.xxhash64(
         "group", F.pmod(F.xxhash64("sid"), "cuts"))).otherwise(F.col("group")).alias("gid"))
-    named = kept_table(met.select("sid").join(group, "sid", "left")
+    named = kept_table(runs.select("sid").distinct().join(group, "sid", "left")
                        .select("sid", F.coalesce("group", "sid").alias("group"), F.coalesce("gid", "sid").alias("gid")))
     entry = kept_table(runs.select("token", "sid", "n", "rest").join(named, "sid"))
     matrix = entry.groupBy("token", "gid").agg(
@@ -338,16 +372,14 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
     open_ = (entry.select("token", "sid", "n", "rest", "group").join(matrix, "token")
              .where((F.col("group") < F.col("other")) & bound & (100 * F.col("n") >= share * F.col("low"))
                     & (100 * F.col("high") >= share * F.col("n")))
-             .select(F.col("sid").alias("q"), "n", "gid").distinct())
-    members = named.join(sets.select("sid", F.col("n").alias("size")), "sid").select(F.col("sid").alias("m"), "size", "gid")
-    pairs = (open_.join(members, "gid").where((100 * F.least("n", "size") >= share * F.greatest("n", "size")))
-             .select("q", "m").distinct())
-    links = joined.union(linked(pairs))
+             .select(F.col("sid").alias("q"), "gid").distinct())
+    open_ = kept_table(open_)
+    asked = open_.select("gid").distinct()
+    links = joined.union(open_groups(open_, named.join(asked, "gid").select(F.col("sid").alias("m"), "gid"), 4 * group_size))
 
     # classes as nodes, named by their smallest document
-    rep = classes.select("sid", "rep")
-    edges = (links.join(rep.select(F.col("sid").alias("q"), F.col("rep").alias("a")), "q")
-             .join(rep.select(F.col("sid").alias("m"), F.col("rep").alias("b")), "m").select("a", "b"))
+    edges = (links.join(rep.select(F.col("sid").alias("q"), F.col("doc_id").alias("a")), "q")
+             .join(rep.select(F.col("sid").alias("m"), F.col("doc_id").alias("b")), "m").select("a", "b"))
     found = components(edges)
     shared = kept_table(classes.join(found, classes["rep"] == found["node"], "left")
                         .where("copies > 1 or label is not null")
