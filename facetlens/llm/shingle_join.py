@@ -11,8 +11,8 @@ connected by links of Jaccard similarity ``share / 100`` or more:
    the shingle earliest is a leader, each class joins the leader it meets most
    often if a full comparison links them, and large groups are cut into parts.
 3. The matrix holds one row per shingle and group: the union of the entries of
-   the group's members, with the largest rest of a member behind that shingle
-   and the members' size range. A query set meets a group only through the
+   the group's members, with the largest rest of a member behind its first shared
+   entry and the members' size range. A query set meets a group only through the
    matrix; the rests and sizes bound its overlap with any member. Groups it is
    already connected with are skipped.
 4. Only groups whose bound reaches the threshold are opened: the query is
@@ -363,16 +363,25 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
     cuts = group.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / group_size).alias("cuts"))
     group = group.join(cuts, "group").select("sid", "group", F.when(F.col("cuts") > 1, F.xxhash64(
         "group", F.pmod(F.xxhash64("sid"), "cuts"))).otherwise(F.col("group")).alias("gid"))
-    named = kept_table(runs.select("sid").distinct().join(group, "sid", "left")
-                       .select("sid", F.coalesce("group", "sid").alias("group"), F.coalesce("gid", "sid").alias("gid")))
-    entry = kept_table(runs.select("token", "sid", "n", "rest").join(named, "sid"))
-    matrix = entry.groupBy("token", "gid").agg(
-        F.first("group").alias("other"), F.max("rest").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"))
-    bound = F.least("rest", "most") >= _least_overlap(F.col("n"), F.greatest(F.col("low"), share * F.col("n") / 100), share)
-    open_ = (entry.select("token", "sid", "n", "rest", "group").join(matrix, "token")
-             .where((F.col("group") < F.col("other")) & bound & (100 * F.col("n") >= share * F.col("low"))
-                    & (100 * F.col("high") >= share * F.col("n")))
-             .select(F.col("sid").alias("q"), "gid").distinct())
+    each = runs.groupBy("sid").agg(F.max("n").alias("n"), F.max("rest").alias("first_rest"))
+    named = kept_table(each.join(group, "sid", "left").select(
+        "sid", "n", "first_rest", F.coalesce("group", "sid").alias("group"), F.coalesce("gid", "sid").alias("gid")))
+    bounds = kept_table(named.groupBy("gid").agg(F.first("group").alias("other"), F.max("first_rest").alias("most"),
+                                                 F.min("n").alias("low"), F.max("n").alias("high")))
+    entry = kept_table(runs.select("token", "sid").join(named, "sid"))
+    matrix = entry.select("token", "gid").distinct().join(bounds, "gid")
+    low = F.greatest(F.col("low"), share * F.col("n") / 100)
+    high = F.least(F.col("high"), 100 * F.col("n") / share)
+    # with a member of m shingles a linked query shares the first overlap - share * max(n, m)
+    # entries of both prefixes; one less allows for two shingles with one 32-bit name
+    needed = F.least(_least_overlap(F.col("n"), low, share) - share * F.col("n") / 100,
+                     _least_overlap(F.col("n"), high, share) - share * high / 100) - 1
+    open_ = (entry.join(matrix.withColumnRenamed("gid", "at"), "token")
+             .where((F.col("group") < F.col("other")) & (100 * F.col("n") >= share * F.col("low"))
+                    & (100 * F.col("high") >= share * F.col("n"))
+                    & (F.least("first_rest", "most") >= _least_overlap(F.col("n"), low, share)))
+             .groupBy(F.col("sid").alias("q"), F.col("at").alias("gid"), needed.alias("needed"))
+             .agg(F.count(F.lit(1)).alias("shared")).where("shared >= needed").select("q", "gid"))
     open_ = kept_table(open_)
     asked = open_.select("gid").distinct()
     links = joined.union(open_groups(open_, named.join(asked, "gid").select(F.col("sid").alias("m"), "gid"), 4 * group_size))
