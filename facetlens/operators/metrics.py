@@ -129,10 +129,11 @@ def label_stats(conf: DataFrame) -> DataFrame:
     """Per label of the union of gold and predicted labels: tp, support
     (gold count), predicted count, precision, recall, f1 (0 on 0/0)."""
     gold_side = conf.groupBy(F.col("gold").alias("label")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
-    pred_side = conf.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("pred_n"))
-    s = gold_side.join(pred_side, "label", "full_outer").select(
-        "label", F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("tp", F.lit(0)).alias("tp"),
+        F.sum("n").alias("support"), F.sum(F.when(F.col("gold").eqNullSafe(F.col("pred")), F.col("n")).otherwise(0)).alias("tp"))
+    pred_side = conf.groupBy(F.col("pred").alias("pred_label")).agg(F.sum("n").alias("pred_n"))
+    # a missing label is one label, whichever side misses it
+    s = gold_side.join(pred_side, F.col("label").eqNullSafe(F.col("pred_label")), "full_outer").select(
+        F.coalesce("label", "pred_label").alias("label"), F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("tp", F.lit(0)).alias("tp"),
         F.coalesce("pred_n", F.lit(0)).alias("pred_n"))
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("pred_n").cast("double")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))

@@ -98,7 +98,7 @@ def q_union_parts(spark, sf):
     langs = ["de", "en", "es", "fr"]
     parts = [docs.where(F.col("lang") == l).select("doc_id", "lang", "n_chars", *([] if l == "en" else ["source"]))
              for l in langs]
-    other = docs.where(~F.col("lang").isin(langs)).select("doc_id", "lang", "n_chars", "source")
+    other = docs.where(~F.coalesce(F.col("lang").isin(langs), F.lit(False))).select("doc_id", "lang", "n_chars", "source")
     return RD.union_parts(parts + [other]).select("doc_id", "lang", "source", "n_chars")
 
 

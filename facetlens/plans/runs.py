@@ -18,6 +18,7 @@ from facetlens.operators import clauses as CL
 from facetlens.operators import hygiene as HY
 from facetlens.operators import metrics as ME
 from facetlens.operators.model_stage import run_model
+from facetlens.session import cut_lineage
 from facetlens.sources import readers as RD
 from facetlens.sources import sinks as SK
 
@@ -111,8 +112,13 @@ def run_file(spark: SparkSession, path: str, fmt: str, category_model: CF.NBMode
              cap: int | None = None) -> DataFrame:
     """File job: resolve the text column, intake gate, online chain, defaults,
     one nested row per review: (review_id, review, aspects)."""
-    raw = RD.with_text(RD.read_reviews(spark, path, fmt), "review")
-    raw = raw.withColumn("review_id", F.monotonically_increasing_id()).select("review_id", "review")
+    if fmt == "text":   # every non-blank line is a review
+        raw = RD.read_lines(spark, path).select(F.col("line_id").alias("review_id"), F.col("line").alias("review"))
+    else:
+        raw = RD.with_text(RD.read_reviews(spark, path, fmt), "review")
+        raw = raw.withColumn("review_id", F.monotonically_increasing_id()).select("review_id", "review")
+    # ids depend on the file splits: fix them once, the job reads them in several branches
+    raw = cut_lineage(raw)
     gated = RD.intake_filter(raw, "review", "review_id", cap=cap)
     scored = run_scored(gated, "review_id", "review", category_model, lexicon, with_sentence=False)
     filled = HY.fill_defaults(scored, ["clause", "term", "opinion", "category", "polarity"],

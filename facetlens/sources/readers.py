@@ -119,9 +119,9 @@ def union_parts(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def intake_filter(df: DataFrame, text_col: str, order_col: str, cap: int | None = 200,
+def intake_filter(df: DataFrame, text_col: str, order_col: str, cap: int | None = None,
                   min_len: int = 3) -> DataFrame:
-    """null -> '', strip, first ``cap`` rows by ``order_col``, then keep length >= min_len.
+    """null -> '', strip, first ``cap`` rows by ``order_col`` if a cap is given, then keep length >= min_len.
 
     The cap is applied before the length gate (as the upload path does);
     ``cap=None`` is the scale mode and needs no global sort.

@@ -54,14 +54,19 @@ def _out_dirs(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{base}/streams/{run}/out", f"{base}/streams/{run}/checkpoint"
 
 
-def run_available(sdf: DataFrame, name: str, mode: str = "append", timeout_s: int = 600):
+def run_available(sdf: DataFrame, name: str, mode: str = "append"):
     """Run the stream over everything available now and return
     (result DataFrame read back from the sink, progress list).
 
     append  : batch ``b`` writes ``out/batch=b`` (overwrite => idempotent replay)
     complete: each batch overwrites ``out`` with the full result table
+
+    Waits until all available input is processed; a failure of the stream is
+    raised here.
     """
     spark = sdf.sparkSession
+    # the progress list must keep every micro-batch, not only the last hundred
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1000000")
     out, ckpt = _out_dirs(spark, name)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -72,7 +77,7 @@ def run_available(sdf: DataFrame, name: str, mode: str = "append", timeout_s: in
 
     q = (sdf.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
+    q.awaitTermination()
     progress = q.recentProgress
     q.stop()
     result = spark.read.parquet(out)
