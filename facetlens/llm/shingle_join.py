@@ -8,8 +8,9 @@ connected by links of Jaccard similarity ``share / 100`` or more:
    shingle among the first ``n - ceil(share * n) + 1`` of each, so only those
    entries are shuffled, packed by shingle bucket.
 2. Similar classes form groups: in every shingle's run the class that meets
-   the shingle earliest is a leader, each class joins the leader it meets most
-   often if a full comparison links them, and large groups are cut into parts.
+   the shingle earliest is a leader, each class asks the leader it meets most
+   often, classes that full comparisons connect this way are one group, and
+   large groups are cut into parts.
 3. The matrix holds one row per shingle and group: the union of the entries of
    the group's members, with the largest rest of a member behind its first shared
    entry and the members' size range. A query set meets a group only through the
@@ -354,12 +355,9 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
                       .select(F.col("sid").alias("q"), "gid"))
     joined = open_groups(best, best.select(F.col("gid").alias("m"), "gid").distinct(), 64)
 
-    # groups: a leader with the classes it linked; a leader that joined another one points there
-    above = joined.select(F.col("q").alias("m"), F.col("m").alias("above"))
-    group = joined.join(above, "m", "left").select(F.col("q").alias("sid"), F.coalesce("above", "m").alias("group"))
-    heads = joined.join(above, "m", "left").where("above is null").select(F.col("m").alias("sid"),
-                                                                          F.col("m").alias("group")).distinct()
-    group = kept_table(group.union(heads).dropDuplicates(["sid"]))
+    # groups: the classes that links to leaders connect
+    group = kept_table(components(joined.select(F.col("q").alias("a"), F.col("m").alias("b")))
+                       .select(F.col("node").alias("sid"), F.col("label").alias("group")))
     cuts = group.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / group_size).alias("cuts"))
     group = group.join(cuts, "group").select("sid", "group", F.when(F.col("cuts") > 1, F.xxhash64(
         "group", F.pmod(F.xxhash64("sid"), "cuts"))).otherwise(F.col("group")).alias("gid"))
