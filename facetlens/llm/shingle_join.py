@@ -9,15 +9,18 @@ connected by links of Jaccard similarity ``share / 100`` or more:
    entries are shuffled, packed by shingle bucket.
 2. Similar classes form groups: in every shingle's run the class that meets
    the shingle earliest is a leader, each class asks the leader it meets most
-   often, classes that full comparisons connect this way are one group, and
-   large groups are cut into parts.
+   often, and classes that full comparisons connect this way are one group.
+   Classes that ask the same leader in vain resemble each other too: they form
+   mixed groups, whose members are not yet connected. Large groups are cut
+   into parts.
 3. The matrix holds one row per shingle and group: the union of the entries of
    the group's members, with the largest rest of a member behind its first shared
    entry and the members' size range. A query set meets a group only through the
    matrix; the rests and sizes bound its overlap with any member. Groups it is
-   already connected with are skipped.
+   already connected with are skipped; the members of a mixed group also ask
+   their own group.
 4. Only groups whose bound reaches the threshold are opened: the query is
-   compared in full with the members.
+   compared in full with the members it is not yet connected with.
 
 Components of the links found are those of all links: a skipped pair was
 already connected, and a pruned pair cannot reach the threshold. The cost of a
@@ -291,18 +294,19 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
     rep = classes.select("sid", F.col("rep").alias("doc_id"))
 
     def open_groups(asks: DataFrame, members: DataFrame, at_once: int) -> DataFrame:
-        """A link (q, m) for every asking class (q, gid) that reaches a member (m, gid) of the group.
+        """Links (q, m) that connect every asking class (q, gid) with the members (m, gid, tie) it links to.
 
-        The sets are made from the texts again and sent where they are compared:
-        one task compares at most ``at_once`` queries with one group.
+        Members of one ``tie`` are connected already. The sets are made from the
+        texts again and sent where they are compared: one task compares about
+        ``at_once`` queries with one group.
         """
         cuts = kept_table(asks.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / at_once).alias("cuts")))
         a = asks.join(cuts, "gid").select(F.col("q").alias("sid"), "gid", F.pmod(F.xxhash64("q"), "cuts").alias("part"),
-                                          F.lit(False).alias("member"))
+                                          F.lit(None).cast("bigint").alias("tie"))
         m = members.join(cuts, "gid").select(F.col("m").alias("sid"), "gid", F.explode(
-            F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("part"), F.lit(True).alias("member"))
+            F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("part"), "tie")
         roles = kept_table(a.union(m).join(rep, "sid").groupBy("sid", "doc_id", F.floor(F.col("part") / 1000))
-                           .agg(F.collect_list(F.struct("gid", "part", "member")).alias("roles"))
+                           .agg(F.collect_list(F.struct("gid", "part", F.col("tie").isNotNull().alias("member"), "tie")).alias("roles"))
                            .select("doc_id", "sid", "roles"))
         wanted = F.broadcast(roles) if roles.count() <= broadcast_ids else roles
 
@@ -315,58 +319,76 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
                     token, per = shingle_sets(texts_, width)
                     name, _ = set_names(token, per)
                     ends = np.cumsum(per)
-                    out: tuple = ([], [], [], [], [])
+                    out: tuple = ([], [], [], [], [], [])
                     for i, own, a, e in zip(some, name.tolist(), ends - per, ends):
                         if own != sids[i]:   # another text under the same doc_id
                             continue
                         raw = token[a:e].tobytes()
                         for r in roles_[i]:
-                            for x, v in zip(out, (r["gid"], r["part"], r["member"], own, raw)):
+                            for x, v in zip(out, (r["gid"], r["part"], r["member"], r["tie"], own, raw)):
                                 x.append(v)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()),
-                         pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())],
-                        names=["gid", "part", "member", "sid", "tokens"])
+                         pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.binary())],
+                        names=["gid", "part", "member", "tie", "sid", "tokens"])
 
         def compare(pdf):
             import pandas as pd
 
-            sets = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
-            inside = np.flatnonzero(pdf["member"].to_numpy(bool))
-            sid, found = pdf["sid"].to_numpy(np.int64), []
-            for i in np.flatnonzero(~pdf["member"].to_numpy(bool)):
-                x = sets[i]
-                for j in inside:
-                    y = sets[j]
-                    if 100 * min(len(x), len(y)) < share * max(len(x), len(y)):
+            inside = pdf["member"].to_numpy(bool)
+            sid, root, members, tied = pdf["sid"].tolist(), {}, [], {}
+
+            def top(s):
+                while root.setdefault(s, s) != s:
+                    s = root[s]
+                return s
+
+            for i in np.flatnonzero(inside):
+                first = tied.setdefault(pdf["tie"].iloc[i], sid[i])
+                root[top(sid[i])] = top(first)
+                members.append((sid[i], np.frombuffer(pdf["tokens"].iloc[i], np.uint64)))
+            found = []
+            for i in np.flatnonzero(~inside):
+                x, q = np.frombuffer(pdf["tokens"].iloc[i], np.uint64), sid[i]
+                for m, y in members:
+                    if 100 * min(len(x), len(y)) < share * max(len(x), len(y)) or top(q) == top(m):
                         continue
                     both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                     if 100 * both >= share * (len(x) + len(y) - both):
-                        found.append((sid[i], sid[j]))
-                        break                # the members of a group are connected already
+                        found.append((q, m))
+                        root[top(q)] = top(m)
             return pd.DataFrame(found, columns=["q", "m"], dtype="int64")
 
         sent = texts.join(wanted, "doc_id").select("sid", "roles", "text").mapInArrow(
-            send, "gid bigint, part bigint, member boolean, sid bigint, tokens binary")
+            send, "gid bigint, part bigint, member boolean, tie bigint, sid bigint, tokens binary")
         return kept_table(sent.groupBy("gid", "part").applyInPandas(compare, "q bigint, m bigint"))
 
     best = kept_table(runs.where("leader <> sid").groupBy("sid", "leader").agg(F.count(F.lit(1)).alias("times"))
                       .groupBy("sid").agg(F.max_by("leader", F.struct("times", "leader")).alias("gid"))
                       .select(F.col("sid").alias("q"), "gid"))
-    joined = open_groups(best, best.select(F.col("gid").alias("m"), "gid").distinct(), 64)
+    joined = open_groups(best, best.select(F.col("gid").alias("m"), "gid", F.col("gid").alias("tie")).distinct(), 64)
 
-    # groups: the classes that links to leaders connect
+    # groups: the classes that links to leaders connect; of the others, those that leaders bring together
     group = kept_table(components(joined.select(F.col("q").alias("a"), F.col("m").alias("b")))
                        .select(F.col("node").alias("sid"), F.col("label").alias("group")))
-    cuts = group.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / group_size).alias("cuts"))
-    group = group.join(cuts, "group").select("sid", "group", F.when(F.col("cuts") > 1, F.xxhash64(
-        "group", F.pmod(F.xxhash64("sid"), "cuts"))).otherwise(F.col("group")).alias("gid"))
-    each = runs.groupBy("sid").agg(F.max("n").alias("n"), F.max("rest").alias("first_rest"))
-    named = kept_table(each.join(group, "sid", "left").select(
-        "sid", "n", "first_rest", F.coalesce("group", "sid").alias("group"), F.coalesce("gid", "sid").alias("gid")))
-    bounds = kept_table(named.groupBy("gid").agg(F.first("group").alias("other"), F.max("first_rest").alias("most"),
-                                                 F.min("n").alias("low"), F.max("n").alias("high")))
-    entry = kept_table(runs.select("token", "sid").join(named, "sid"))
+    alike = (components(best.select(F.col("q").alias("a"), F.col("gid").alias("b")))
+             .select(F.col("node").alias("sid"), F.col("label").alias("kin")))
+    each = (runs.groupBy("sid").agg(F.max("n").alias("n"), F.max("rest").alias("first_rest"))
+            .join(group, "sid", "left").join(alike, "sid", "left")
+            .withColumn("mixed", F.col("group").isNull())
+            .withColumn("kin", F.coalesce("group", "kin", "sid")))
+    cuts = (each.groupBy("kin", "mixed").agg(F.count(F.lit(1)).alias("size"))
+            .withColumn("cuts", F.ceil(F.col("size") / group_size))
+            .withColumn("size", F.when(F.col("mixed"), F.floor(F.col("size") / F.col("cuts"))).otherwise(F.col("size"))))
+    gid = F.when((F.col("cuts") > 1) | F.col("mixed"), F.xxhash64("kin", "mixed", F.pmod(F.xxhash64("sid"), "cuts")))
+    # of two groups the one with fewer classes asks: few queries meet the few unions of a large group
+    place = F.struct("size", F.when(F.col("mixed"), F.col("gid")).otherwise(F.col("kin")).alias("name"))
+    named = kept_table(each.join(cuts, ["kin", "mixed"]).withColumn("gid", gid.otherwise(F.col("kin"))).select(
+        "sid", "n", "first_rest", "gid", "mixed", place.alias("group"), F.coalesce("group", "sid").alias("tie")))
+    bounds = kept_table(named.groupBy("gid").agg(
+        F.first("group").alias("other"), F.max("first_rest").alias("most"), F.min("n").alias("low"),
+        F.max("n").alias("high"), (F.first("mixed") & (F.count(F.lit(1)) > 1)).alias("open")))
+    entry = kept_table(runs.select("token", "sid").join(named.select("sid", "n", "first_rest", "group", "gid"), "sid"))
     matrix = entry.select("token", "gid").distinct().join(bounds, "gid")
     low = F.greatest(F.col("low"), share * F.col("n") / 100)
     high = F.least(F.col("high"), 100 * F.col("n") / share)
@@ -375,14 +397,15 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
     needed = F.least(_least_overlap(F.col("n"), low, share) - share * F.col("n") / 100,
                      _least_overlap(F.col("n"), high, share) - share * high / 100) - 1
     open_ = (entry.join(matrix.withColumnRenamed("gid", "at"), "token")
-             .where((F.col("group") < F.col("other")) & (100 * F.col("n") >= share * F.col("low"))
+             .where(((F.col("group") < F.col("other")) | ((F.col("group") == F.col("other")) & F.col("open"))) & (100 * F.col("n") >= share * F.col("low"))
                     & (100 * F.col("high") >= share * F.col("n"))
                     & (F.least("first_rest", "most") >= _least_overlap(F.col("n"), low, share)))
              .groupBy(F.col("sid").alias("q"), F.col("at").alias("gid"), needed.alias("needed"))
              .agg(F.count(F.lit(1)).alias("shared")).where("shared >= needed").select("q", "gid"))
     open_ = kept_table(open_)
     asked = open_.select("gid").distinct()
-    links = joined.union(open_groups(open_, named.join(asked, "gid").select(F.col("sid").alias("m"), "gid"), 4 * group_size))
+    links = joined.union(open_groups(open_, named.join(asked, "gid").select(F.col("sid").alias("m"), "gid", "tie"),
+                                     4 * group_size))
 
     # classes as nodes, named by their smallest document
     edges = (links.join(rep.select(F.col("sid").alias("q"), F.col("doc_id").alias("a")), "q")
