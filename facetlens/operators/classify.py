@@ -132,12 +132,13 @@ def language_gate(model: NBModel, df: DataFrame, key: str, text_col: str = "text
 
 
 def route_translation(gated: DataFrame, text_col: str = "text") -> DataFrame:
-    """English rows pass through; the rest are routed to the translator.
+    """English and blank rows pass through; the rest are routed to the translator.
     Adds ``route`` ('pass' / 'translate') and ``to_translate`` (text or null),
     so only non-English distinct texts reach the model stage."""
+    passes = F.col("is_target") | (strip_ws(F.coalesce(F.col(text_col), F.lit(""))) == "")
     return gated.withColumns({
-        "route": F.when(F.col("is_target"), F.lit("pass")).otherwise(F.lit("translate")),
-        "to_translate": F.when(~F.col("is_target"), F.col(text_col)),
+        "route": F.when(passes, F.lit("pass")).otherwise(F.lit("translate")),
+        "to_translate": F.when(~passes, F.col(text_col)),
     })
 
 

@@ -126,17 +126,19 @@ def refine_terms_array(arr, sentence, lowered: bool = False) -> Column:
     return F.transform(arr, fix)
 
 
-def split_and_refine(df: DataFrame, key: str, sentence_col: str, resp_col: str = "response") -> DataFrame:
+def split_and_refine(df: DataFrame, key: str, sentence_col: str, resp_col: str = "response",
+                     keep: list[str] | None = None) -> DataFrame:
     """Split path: parse + refine, one row per clause with the sentence kept.
 
     The parsed array and the lower-cased sentence are projected first, so the
     per-clause lambda reads them instead of recomputing them per element.
     """
-    pre = df.select(key, sentence_col, parsed_clause_array(F.col(resp_col)).alias("_arr"),
+    keep = keep or []
+    pre = df.select(key, sentence_col, *keep, parsed_clause_array(F.col(resp_col)).alias("_arr"),
                     F.lower(F.col(sentence_col)).alias("_low"))
     arr = refine_terms_array(F.col("_arr"), F.col("_low"), lowered=True)
-    return (pre.select(key, sentence_col, F.posexplode(arr).alias("clause_pos", "c"))
-            .select(key, F.col(sentence_col).alias("sentence_original"), "clause_pos",
+    return (pre.select(key, sentence_col, *keep, F.posexplode(arr).alias("clause_pos", "c"))
+            .select(key, F.col(sentence_col).alias("sentence_original"), *keep, "clause_pos",
                     F.col("c.clause").alias("clause"), F.col("c.term").alias("term"),
                     F.col("c.n_markers").alias("n_markers")))
 
@@ -193,12 +195,15 @@ def match_lexicon(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text_c
     Grams are exploded per row, equi-joined with the lexicon (broadcast when
     its size is proven small, shuffled otherwise) and only the hits are
     regrouped, so the regroup shuffle carries matches, not text.
-    Output: (key, n_hits, hits) with hits joined by ', '.
+    Output: (key, n_hits, hits) with hits joined by ', '; a review without
+    hits has n_hits 0 and ''.
     """
     exploded = lexicon_grams(df, key, text_col)
     lex = sized_broadcast(lexicon.select(F.lower("entry").alias("entry")).distinct(), max_broadcast_rows)
     hits = exploded.join(lex, "entry")
-    return (hits.groupBy(key)
-            .agg(F.count(F.lit(1)).alias("n_hits"),
-                 F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "entry"))),
-                                          lambda s: s["entry"]), ", ").alias("hits")))
+    found = (hits.groupBy(key)
+             .agg(F.count(F.lit(1)).alias("n_hits"),
+                  F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "entry"))),
+                                           lambda s: s["entry"]), ", ").alias("hits")))
+    return df.select(key).join(found, key, "left").select(
+        key, F.coalesce("n_hits", F.lit(0).cast("bigint")).alias("n_hits"), F.coalesce("hits", F.lit("")).alias("hits"))

@@ -361,7 +361,7 @@ _RESP_LIST_SQL = ("'{label}: ' || coalesce(tk[1], '') || ', ' || translate(coale
 def _validated_sql(label: str, out: str) -> str:
     resp = _RESP_LIST_SQL.format(label=label)
     return f"""
-WITH d AS (SELECT doc_id, text, {S.tokens('text')} AS tk FROM documents WHERE lang = 'en'),
+WITH d AS (SELECT doc_id, text, {S.tokens('text')} AS tk FROM documents),
 r AS (SELECT doc_id, text, {resp} AS resp FROM d)
 SELECT doc_id, array_to_string(list_filter({S.split_terms(S.strip_markers('resp', label))},
                                            lambda t: {S.whole_word('t', 'text')}), ', ') AS {out} FROM r
@@ -370,14 +370,14 @@ SELECT doc_id, array_to_string(list_filter({S.split_terms(S.strip_markers('resp'
 
 @query("parse_terms", _validated_sql("Term", "term"))
 def q_parse_terms(spark, sf):
-    d = tbl(spark, sf, "documents").where(F.col("lang") == "en")
+    d = tbl(spark, sf, "documents")
     d = d.withColumn("response", AN.rule_list_response("text", "Term"))
     return CL.parse_terms(d, "text").select("doc_id", "term")
 
 
 @query("parse_opinions", _validated_sql("Opinion", "opinion"))
 def q_parse_opinions(spark, sf):
-    d = tbl(spark, sf, "documents").where(F.col("lang") == "en")
+    d = tbl(spark, sf, "documents")
     d = d.withColumn("opinion_response", AN.rule_list_response("text", "Opinion"))
     return CL.parse_opinions(d, "text").select("doc_id", "opinion")
 
@@ -426,11 +426,12 @@ def q_build_prompts(spark, sf):
 
 
 @query("model_stage", f"""
-SELECT doc_id, 'Term: ' || {S.first_word('text')} AS response, 'ok' AS model_status
-FROM documents WHERE lang = 'en'
+SELECT doc_id, CASE WHEN {S.strip('text')} <> '' THEN 'Term: ' || {S.first_word('text')} END AS response,
+       CASE WHEN {S.strip('text')} <> '' THEN 'ok' ELSE 'skipped' END AS model_status
+FROM documents
 """)
 def q_model_stage(spark, sf):
-    d = tbl(spark, sf, "documents").where(F.col("lang") == "en").select("doc_id", "text")
+    d = tbl(spark, sf, "documents").select("doc_id", "text")
     return run_model(d, RuleBackend("term"), "text").select("doc_id", "response", "model_status")
 
 
@@ -445,8 +446,7 @@ items AS (SELECT doc_id, n // 32 AS batch_id, n % 32 + 1 AS item_no, clause, ter
 @query("batch_prompts", f"""
 WITH {_ITEMS_SQL}
 SELECT doc_id, batch_id, count(*) AS n_items,
-       {S.q(AN.BATCH_HEADER)} || string_agg(item_no || '. Term: ''' || term || ''' | Clause: ''' || clause || '''',
-                                           {S.NL} ORDER BY item_no) || {S.q(AN.BATCH_FOOTER)} AS prompt
+       {S.q(AN.BATCH_HEADER)} || string_agg(item_no || '. [' || term || '] ' || clause, {S.NL} ORDER BY item_no) || {S.q(AN.BATCH_FOOTER)} AS prompt
 FROM items GROUP BY doc_id, batch_id
 """)
 def q_batch_prompts(spark, sf):
@@ -492,42 +492,21 @@ def q_clean_opinion(spark, sf):
     return lines.select("doc_id", "line_pos", AN.clean_opinion("line").alias("cleaned"))
 
 
-def _filter_ops_sql(op: str, clause: str, text: str) -> str:
-    short = f"list_filter({S.split_terms(op)}, lambda o: len({S.tokens('o')}) <= {AN.MAX_OPINION_WORDS})"
-    return (f"array_to_string(list_filter({short}, lambda o: {S.whole_word('o', clause)} OR "
-            f"{S.whole_word('o', text)}), ', ')")
-
-
-_RA_SEL, _RA_FINAL, _ = _clean_opinion_sql("raw_answer", "a")
-
-
-@query("demux_answers", f"""
-WITH {_ITEMS_SQL},
-it AS (SELECT items.*, d.text, {S.tokens('clause')} AS w FROM items JOIN documents d USING (doc_id)
-       WHERE d.lang = 'en'),
-ra AS (SELECT *, CASE WHEN item_no % 5 IN (0, 1) THEN ''
-                      WHEN item_no % 5 = 2 THEN {S.strip("'<b>' || coalesce(w[1], '') || '</b> (very)'")}
-                      ELSE {S.strip("coalesce(w[1], '') || ', ' || coalesce(w[2], '')")} END AS raw_answer FROM it),
-fo AS (SELECT *, {_RA_SEL} FROM ra)
-SELECT doc_id, batch_id, item_no, clause, term, {_filter_ops_sql(_RA_FINAL, 'clause', 'text')} AS opinion FROM fo
-""")
+# no SQL: too slow on whole texts of every language; tests/test_runs.py holds a brute-force version
+@query("demux_answers")
 def q_demux_answers(spark, sf):
-    d = tbl(spark, sf, "documents").where(F.col("lang") == "en").select(
-        "doc_id", "text", AN.clause_items("text").alias("items"))
-    b = AN.batch_prompts(d, "doc_id", "items").join(d.select("doc_id", "text"), "doc_id")
+    d = tbl(spark, sf, "documents").select("doc_id", "text", AN.clause_items("text").alias("items"))
+    b = AN.batch_prompts(d, "doc_id", "items", keep=["text"])
     b = b.withColumn("response", AN.rule_batch_response(F.col("items")))
     return AN.demux_answers(b, "doc_id", "response", sentence_col="text")
 
 
-@query("filter_opinions", f"""
-WITH c AS ({_CLAUSES_SQL})
-SELECT c.doc_id, c.clause_pos,
-       {_filter_ops_sql(f"{S.first_word('c.clause')} || ', ' || c.clause || ', zzqx'", 'c.clause', 'd.text')} AS kept
-FROM c JOIN documents d USING (doc_id) WHERE d.lang = 'en'
-""")
+# no SQL: too slow on whole texts of every language; tests/test_runs.py holds a brute-force version
+@query("filter_opinions")
 def q_filter_opinions(spark, sf):
-    d = tbl(spark, sf, "documents").where(F.col("lang") == "en")
-    c = CL.split_clauses(d, "doc_id", "text").join(d.select("doc_id", "text"), "doc_id")
+    d = tbl(spark, sf, "documents")
+    c = d.select("doc_id", "text", F.explode(CL.clause_array("text")).alias("c")).select(
+        "doc_id", "text", F.col("c.pos").alias("clause_pos"), F.col("c.clause").alias("clause"))
     cand = F.concat(AN.first_word("clause"), F.lit(", "), F.col("clause"), F.lit(", zzqx"))
     return c.select("doc_id", "clause_pos", AN.filter_opinions(cand, F.col("clause"), F.col("text")).alias("kept"))
 
@@ -547,9 +526,10 @@ lex AS (SELECT entry FROM uni UNION SELECT entry FROM bi)
 
 
 @query("match_lexicon", f"""
-WITH {_GRAMS_SQL}
-SELECT doc_id, count(*) AS n_hits, string_agg(entry, ', ' ORDER BY pos) AS hits FROM g JOIN lex USING (entry)
-GROUP BY doc_id
+WITH {_GRAMS_SQL},
+m AS (SELECT doc_id, count(*) AS n_hits, string_agg(entry, ', ' ORDER BY pos) AS hits FROM g JOIN lex USING (entry)
+      GROUP BY doc_id)
+SELECT doc_id, coalesce(n_hits, 0) AS n_hits, coalesce(hits, '') AS hits FROM documents LEFT JOIN m USING (doc_id)
 """)
 def q_match_lexicon(spark, sf):
     d = tbl(spark, sf, "documents")
@@ -626,9 +606,10 @@ def q_lang_gate(spark, sf):
 
 
 @query("translation_route", f"""
-SELECT CASE WHEN l.pred_lang = 'en' THEN 'pass' ELSE 'translate' END AS route, count(*) AS n,
-       count(DISTINCT d.text) FILTER (WHERE l.pred_lang <> 'en') AS n_distinct_to_translate
-FROM ({_LANG_PRED_SQL}) l JOIN documents d USING (doc_id) GROUP BY 1
+SELECT CASE WHEN passes THEN 'pass' ELSE 'translate' END AS route, count(*) AS n,
+       count(DISTINCT text) FILTER (WHERE NOT passes) AS n_distinct_to_translate
+FROM (SELECT d.text, l.pred_lang = 'en' OR {S.strip("coalesce(d.text, '')")} = '' AS passes
+      FROM ({_LANG_PRED_SQL}) l JOIN documents d USING (doc_id)) GROUP BY 1
 """)
 def q_translation_route(spark, sf):
     d, m = _lang_model(spark, sf)
@@ -766,7 +747,7 @@ _P4 = f"""SELECT doc_id, coalesce(list_filter(t[1:h], lambda x: list_contains({_
        coalesce(list_filter(t[h + 1:], lambda x: list_contains({_FW}, x))[1], '') AS pred
 FROM (SELECT doc_id, t, len(t) // 2 AS h FROM (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS t
-  FROM documents WHERE lang = 'en'))"""
+  FROM documents))"""
 
 
 def _bucket_sql(x: str) -> str:
@@ -1324,7 +1305,8 @@ def _run_models(spark, sf, with_lang: bool = False):
 def q_full_batch(spark, sf):
     from facetlens.plans import runs as RU
     d, lang, cat, lex = _run_models(spark, sf, with_lang=True)
-    return RU.run_full(d.select("doc_id", "text"), "doc_id", "text", lang, cat, lex)
+    return RU.run_full(d.select("doc_id", "text"), "doc_id", "text", lang, cat, lex,
+                       split_backend=RU.RULES, opinion_backend=RU.RULES)
 
 
 @query("simple_batch", f"""
@@ -1338,7 +1320,8 @@ FROM r
 """)
 def q_simple_batch(spark, sf):
     from facetlens.plans import runs as RU
-    good, _bad = RU.run_simple(tbl(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    good, _bad = RU.run_simple(tbl(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text",
+                               term_backend=RU.RULES, opinion_backend=RU.RULES)
     return good
 
 
@@ -1346,7 +1329,8 @@ def q_simple_batch(spark, sf):
 def q_scored_run(spark, sf):
     from facetlens.plans import runs as RU
     d, _lang, cat, lex = _run_models(spark, sf)
-    out = RU.run_scored(d.select("doc_id", "text"), "doc_id", "text", cat, lex)
+    out = RU.run_scored(d.select("doc_id", "text"), "doc_id", "text", cat, lex,
+                        split_backend=RU.RULES, opinion_backend=RU.RULES)
     return out.withColumn("category_score", F.round("category_score", 4))
 
 
@@ -1354,7 +1338,8 @@ def q_scored_run(spark, sf):
 def q_file_run(spark, sf):
     from facetlens.plans import runs as RU
     d, _lang, cat, lex = _run_models(spark, sf)
-    nested = RU.run_file(spark, f"{sf}/documents.parquet", "parquet", cat, lex)
+    nested = RU.run_file(spark, f"{sf}/documents.parquet", "parquet", cat, lex,
+                         split_backend=RU.RULES, opinion_backend=RU.RULES)
     return nested.select("review_id", F.size("aspects").alias("n_aspects"))
 
 

@@ -1,7 +1,10 @@
-"""Composed runs: each chains library operators into one lazy plan.
+"""Composed runs: each chains library operators into one plan.
 
-Backends are optional: without one, the deterministic rule responses stand
-in for the language model so the plan shape is the same in tests and at scale.
+Every run needs a backend per model task; it is sent the prompt of its task and
+its answers are written once, so no later branch asks it again. ``RULES`` stands
+for the deterministic rule responses (tests, plan checks). No run drops a
+review: what a backend fails on, and what has no clause, comes out with a
+``status`` other than 'ok'.
 """
 
 from __future__ import annotations
@@ -23,47 +26,85 @@ from facetlens.sources import readers as RD
 from facetlens.sources import sinks as SK
 
 
-def _responses(df: DataFrame, text_col: str, task: str, backend=None, out: str = "response") -> DataFrame:
-    """Model answers for ``text_col``: a backend via the model stage, else the rule response."""
-    if backend is not None:
-        return run_model(df, backend, text_col, out)
-    rule = {"split": AN.rule_clause_response(F.col(text_col)),
-            "term": AN.rule_list_response(F.col(text_col), "Term"),
-            "opinion": AN.rule_list_response(F.col(text_col), "Opinion")}[task]
-    return df.withColumn(out, rule).withColumn("model_status", F.lit("ok"))
+RULES = "rules"
+
+
+def _responses(df: DataFrame, text_col: str, task: str, backend, out: str = "response",
+               term_col: str | None = None) -> DataFrame:
+    """Model answers for ``text_col`` as ``out``, with ``model_status``."""
+    if backend is None:
+        raise ValueError(f"no backend for task '{task}' (RULES gives the rule responses)")
+    if backend == RULES:
+        rule = {"split": AN.rule_clause_response(F.col(text_col)),
+                "term": AN.rule_list_response(F.col(text_col), "Term"),
+                "opinion": AN.rule_list_response(F.col(text_col), "Opinion")}[task]
+        return df.withColumn(out, rule).withColumn("model_status", F.lit("ok"))
+    prompt = F.when(strip_ws(F.col(text_col)) != "", AN.build_prompt(task, text_col, term_col))
+    return cut_lineage(run_model(df.withColumn("_prompt", prompt), backend, "_prompt", out)
+                       .drop("_prompt", "model_error"))
+
+
+def _share(score) -> F.Column:
+    """Signed count of lexicon hits -> strength between 0 and 1, four places."""
+    n = F.abs(score.cast("double"))
+    return F.round(n / (n + 1), 4)
 
 
 def translate(df: DataFrame, lang_model: CF.NBModel, key: str, text_col: str, translator=None) -> DataFrame:
     """Language gate + routing; non-English rows get the translator's text
-    (unchanged when no translator is attached). Adds ``pred_lang``, ``route``."""
+    (unchanged when no translator is attached). Adds ``pred_lang`` and ``route``:
+    'pass', 'translate', or 'failed' where the translator gave no answer."""
     routed = CF.route_translation(CF.language_gate(lang_model, df, key, text_col), text_col)
     if translator is None:
         return routed
-    tr = run_model(routed, translator, "to_translate", "translation")
-    return tr.withColumn(text_col, F.coalesce(F.col("translation"), F.col(text_col))).drop("translation")
+    asked = routed.withColumn("_prompt", F.when(F.col("to_translate").isNotNull(),
+                                                AN.build_prompt("translate", "to_translate")))
+    tr = cut_lineage(run_model(asked, translator, "_prompt", "translation").drop("_prompt", "model_error"))
+    failed = (F.col("route") == "translate") & (F.col("model_status") != "ok")
+    return (tr.withColumn("route", F.when(failed, F.lit("failed")).otherwise(F.col("route")))
+            .withColumn(text_col, F.coalesce(F.col("translation"), F.col(text_col))).drop("translation", "model_status"))
 
 
 def run_full(df: DataFrame, key: str, text_col: str, lang_model: CF.NBModel, category_model: CF.NBModel,
-             lexicon: DataFrame, split_backend=None, opinion_backend=None, translator=None) -> DataFrame:
-    """Full batch: gate/translate -> split + terms -> opinions -> category ->
-    polarity, in the fixed result column order. Category and polarity are both
-    keyed by (review, clause) so their joins share one partitioning."""
+             lexicon: DataFrame, split_backend=None, opinion_backend=None, translator=None,
+             split: bool = True) -> DataFrame:
+    """Full batch: gate/translate -> split + terms -> opinions per (sentence,
+    term) -> category -> polarity, in the fixed result column order, then
+    ``status``. ``split=False`` takes the whole sentence as the only clause.
+
+    ``status``: 'ok'; 'error' for a failed answer, a failed translation or a
+    line with two markers; 'empty' for a review without clauses. Reviews
+    without clauses keep one row. ``sentence_index`` is the key plus one.
+    """
     t = translate(df, lang_model, key, text_col, translator)
-    r = _responses(t.select(key, text_col), text_col, "split", split_backend)
-    clauses = CL.split_and_refine(r, key, text_col)
-    clauses = clauses.where(F.col("n_markers") <= 1)
-    clauses = clauses.withColumn("_ck", F.struct(F.col(key), F.col("clause_pos")))
-    # The opinion request carries the whole sentence (as the batch package
-    # does), so it is answered and validated once per review, not per clause.
-    rev = t.select(key, text_col)
-    ops = _responses(rev, text_col, "opinion", opinion_backend, "opinion_response")
-    ops = CL.parse_opinions(ops, text_col, "opinion_response").select(key, "opinion")
-    cat = CF.predict_category(category_model, clauses.select("_ck", "clause"), "_ck", "clause")
-    pol = CF.lexicon_polarity(clauses.select("_ck", "clause"), lexicon, "_ck", "clause")
-    out = (clauses.join(ops, key).join(cat, "_ck").join(pol, "_ck")
-           .withColumns({"sentence_index": F.col(key) + 1,
-                         "polarity_score": F.col("score").cast("double")}))
-    return SK.project_result_order(out)
+    task = "split" if split else "term"
+    r = _responses(t.select(key, text_col, "route"), text_col, task, split_backend)
+    bad = (F.col("model_status") == "error") | (F.col("route") == "failed")
+    r = r.withColumn("status", F.when(bad, F.lit("error")).otherwise(F.lit("ok")))
+    if split:
+        rows = CL.split_and_refine(r, key, text_col, keep=["status"])
+        rows = rows.withColumn("status", F.when(F.col("n_markers") > 1, F.lit("error")).otherwise(F.col("status")))
+        none = r.where(F.coalesce(F.size(CL.parsed_clause_array(F.col("response"))), F.lit(0)) <= 0)
+    else:
+        filled = (strip_ws(F.coalesce(F.col(text_col), F.lit(""))) != "") & (F.col("status") == "ok")
+        rows = CL.parse_terms(r.where(filled), text_col).withColumns(
+            {"sentence_original": F.col(text_col), "clause": F.col(text_col), "clause_pos": F.lit(0)})
+        none = r.where(~filled)
+    none = none.select(key, F.col(text_col).alias("sentence_original"), F.lit(0).alias("clause_pos"),
+                       F.lit(None).cast("string").alias("clause"), F.lit(None).cast("string").alias("term"),
+                       F.when(F.col("status") == "ok", F.lit("empty")).otherwise(F.col("status")).alias("status"))
+    rows = rows.select(*none.columns).union(none).withColumn("_ck", F.struct(F.col(key), F.col("clause_pos")))
+    rows = rows.withColumn("_ask", F.when(F.col("status") == "ok", F.col("sentence_original")))
+    ops = CL.parse_opinions(_responses(rows, "_ask", "opinion", opinion_backend, "opinion_response", "term"),
+                            "sentence_original", "opinion_response")
+    ops = ops.withColumn("status", F.when((F.col("status") == "ok") & (F.col("model_status") == "error"),
+                                          F.lit("error")).otherwise(F.col("status")))
+    known = rows.where(F.col("clause").isNotNull()).select("_ck", "clause")
+    cat = CF.predict_category(category_model, known, "_ck", "clause")
+    pol = CF.lexicon_polarity(known, lexicon, "_ck", "clause")
+    out = ops.join(cat, "_ck", "left").join(pol, "_ck", "left").withColumns(
+        {"sentence_index": F.col(key) + 1, "polarity_score": _share(F.col("score"))})
+    return SK.project_result_order(out, ["status"])
 
 
 def run_simple(df: DataFrame, key: str, text_col: str, term_backend=None, opinion_backend=None):
@@ -82,34 +123,49 @@ def run_simple(df: DataFrame, key: str, text_col: str, term_backend=None, opinio
 
 
 def run_scored(df: DataFrame, key: str, text_col: str, category_model: CF.NBModel, lexicon: DataFrame,
-               split_backend=None, batch_size: int = 32, with_sentence: bool = True) -> DataFrame:
+               split_backend=None, opinion_backend=None, batch_size: int = 32,
+               with_sentence: bool = True) -> DataFrame:
     """Online chain over a table: split + terms -> numbered opinion batches
     (cut inside each review row) -> demux -> category with score -> polarity.
-    ``with_sentence=False`` leaves the review text off the per-clause rows
-    (callers that nest per review attach it once per review instead)."""
+
+    The review text travels with its batches up to the demux; the demuxed
+    clauses are written once and scored from there. ``status`` is 'ok', 'error'
+    (failed answer) or 'empty'; a review without clauses keeps one row with a
+    null batch. ``with_sentence=False`` leaves the review text off the
+    per-clause rows (callers that nest per review attach it once per review).
+    """
+    if opinion_backend is None:
+        raise ValueError("no backend for task 'opinion' (RULES gives the rule responses)")
     r = _responses(df.select(key, text_col), text_col, "split", split_backend)
-    pre = r.select(key, text_col, CL.parsed_clause_array(F.col("response")).alias("_arr"),
+    pre = r.select(key, text_col, "model_status", CL.parsed_clause_array(F.col("response")).alias("_arr"),
                    F.lower(F.col(text_col)).alias("_low"))
-    items = pre.select(key, text_col, F.transform(CL.refine_terms_array(F.col("_arr"), F.col("_low"), lowered=True),
-                                                  lambda c: F.struct(c["clause"].alias("clause"),
-                                                                     c["term"].alias("term"))).alias("items"))
-    b = AN.batch_prompts(items, key, "items", batch_size).join(items.select(key, text_col), key)
-    b = b.withColumn("response", AN.rule_batch_response(F.col("items")))
-    d = AN.demux_answers(b, key, "response", sentence_col=text_col)
-    d = d.withColumn("_ck", F.struct(F.col(key), F.col("batch_id"), F.col("item_no")))
+    items = pre.select(key, text_col, "model_status", F.transform(
+        CL.refine_terms_array(F.col("_arr"), F.col("_low"), lowered=True),
+        lambda c: F.struct(c["clause"].alias("clause"), c["term"].alias("term"))).alias("items"))
+    b = AN.batch_prompts(items, key, "items", batch_size, keep=[text_col])
+    if opinion_backend == RULES:
+        b = b.withColumns({"response": AN.rule_batch_response(F.col("items")), "model_status": F.lit("ok")})
+    else:
+        b = cut_lineage(run_model(b, opinion_backend, "prompt").drop("model_error"))
+    d = AN.demux_answers(b, key, "response", sentence_col=text_col, keep=["model_status"])
+    status = F.when(F.col("model_status") == "error", F.lit("error")).otherwise(F.lit("ok"))
+    d = cut_lineage(d.withColumn("status", status).drop("model_status")
+                    .withColumn("_ck", F.struct(F.col(key), F.col("batch_id"), F.col("item_no"))))
     cat = CF.predict_category(category_model, d.select("_ck", "clause"), "_ck", "clause")
     pol = CF.lexicon_polarity(d.select("_ck", "clause"), lexicon, "_ck", "clause")
-    out = d.join(cat, "_ck").join(pol, "_ck")
+    out = d.join(cat, "_ck", "left").join(pol, "_ck", "left").withColumn("polarity_score", _share(F.col("score")))
+    none = items.where(F.coalesce(F.size("items"), F.lit(0)) <= 0).select(
+        key, F.when(F.col("model_status") == "error", F.lit("error")).otherwise(F.lit("empty")).alias("status"))
+    out = out.unionByName(none, allowMissingColumns=True)
     if with_sentence:
         out = out.join(df.select(key, F.col(text_col).alias("sentence_original")), key)
-    out = out.withColumn("polarity_score", F.col("score").cast("double"))
     cols = ["clause", "term", "opinion", "category", "category_score", "polarity", "polarity_score"]
     cols += ["sentence_original"] if with_sentence else []
-    return out.select(key, "batch_id", "item_no", *cols)
+    return out.select(key, "batch_id", "item_no", *cols, "status")
 
 
 def run_file(spark: SparkSession, path: str, fmt: str, category_model: CF.NBModel, lexicon: DataFrame,
-             cap: int | None = None) -> DataFrame:
+             cap: int | None = None, split_backend=None, opinion_backend=None) -> DataFrame:
     """File job: resolve the text column, intake gate, online chain, defaults,
     one nested row per review: (review_id, review, aspects)."""
     if fmt == "text":   # every non-blank line is a review
@@ -120,7 +176,8 @@ def run_file(spark: SparkSession, path: str, fmt: str, category_model: CF.NBMode
     # ids depend on the file splits: fix them once, the job reads them in several branches
     raw = cut_lineage(raw)
     gated = RD.intake_filter(raw, "review", "review_id", cap=cap)
-    scored = run_scored(gated, "review_id", "review", category_model, lexicon, with_sentence=False)
+    scored = run_scored(gated, "review_id", "review", category_model, lexicon, split_backend=split_backend,
+                        opinion_backend=opinion_backend, with_sentence=False).where(F.col("clause").isNotNull())
     filled = HY.fill_defaults(scored, ["clause", "term", "opinion", "category", "polarity"],
                               ["category_score", "polarity_score"])
     filled = filled.withColumn("pos", F.col("batch_id") * 1_000_000 + F.col("item_no"))
@@ -141,10 +198,13 @@ class FittedCategory:
 
 
 def fit_category(df: DataFrame, key: str, text_col: str, label_col: str, test_frac: float = 0.1,
-                 seed: int = 42) -> FittedCategory:
-    """Train the category classifier: drop <=1-word rows, exact stratified
+                 seed: int = 42, lang_model: CF.NBModel | None = None) -> FittedCategory:
+    """Train the category classifier: keep rows in the target language when a
+    language model is given, drop <=1-word rows, exact stratified
     split, alphabetical label index, naive Bayes on the train side, predictions
     on the test side."""
+    if lang_model is not None:
+        df = CF.language_gate(lang_model, df, key, text_col).where(F.col("is_target")).drop("is_target", "pred_lang")
     kept = HY.drop_short(df.where(strip_ws(F.coalesce(F.col(text_col), F.lit(""))) != ""), text_col)
     split = CF.stratified_split(kept.select(key, text_col, label_col), label_col, key, test_frac, seed)
     train = split.where(F.col("split") == "train")
@@ -164,4 +224,4 @@ def category_report(fitted: FittedCategory, label_col: str) -> DataFrame:
             .join(acc, "label", "left"))
 
 
-__all__ = ["run_full", "run_simple", "run_scored", "run_file", "fit_category", "category_report", "ME"]
+__all__ = ["RULES", "run_full", "run_simple", "run_scored", "run_file", "fit_category", "category_report", "ME"]

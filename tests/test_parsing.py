@@ -160,7 +160,7 @@ def test_batches_cut_inside_row(spark):
     df = spark.createDataFrame([(1, items)], "id long, items array<struct<clause:string,term:string>>")
     b = AN.batch_prompts(df, "id", "items", 32).orderBy("batch_id").collect()
     assert [r.n_items for r in b] == [32, 32, 6]
-    assert b[1].prompt.count("\n1. Term:") == 1 and "32. Term: 't' | Clause: 'c63'" in b[1].prompt
+    assert b[1].prompt.count("\n1. [t] c32") == 1 and "32. [t] c63" in b[1].prompt
     empty = spark.createDataFrame([(2, [])], "id long, items array<struct<clause:string,term:string>>")
     assert AN.batch_prompts(empty, "id", "items").count() == 0
 

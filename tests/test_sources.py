@@ -173,7 +173,8 @@ def test_file_job_nests_every_review(spark, cap):
     train = spark.read.parquet(f"{SF}/documents.parquet")
     model = CF.fit_nb(train, "lang", CF.word_tokens("text"))
     lex = spark.createDataFrame([("clean", 1), ("cold", -1), ("cheap", 1)], "entry string, sign int")
-    nested = RU.run_file(spark, f"{d}/u.csv", "csv", model, lex, cap=cap).collect()
+    nested = RU.run_file(spark, f"{d}/u.csv", "csv", model, lex, cap=cap, split_backend=RU.RULES,
+                         opinion_backend=RU.RULES).collect()
     assert len(nested) == 3       # 'ok' is below the length gate; '!!!' has no clause
     assert {r.review: len(r.aspects) for r in nested}["!!!"] == 0
     by_review = {r.review: r.aspects for r in nested}
