@@ -128,8 +128,7 @@ def run_scored(df: DataFrame, key: str, text_col: str, category_model: CF.NBMode
     """Online chain over a table: split + terms -> numbered opinion batches
     (cut inside each review row) -> demux -> category with score -> polarity.
 
-    The review text travels with its batches up to the demux; the demuxed
-    clauses are written once and scored from there. ``status`` is 'ok', 'error'
+    The demuxed clauses are written once and scored from there. ``status`` is 'ok', 'error'
     (failed answer) or 'empty'; a review without clauses keeps one row with a
     null batch. ``with_sentence=False`` leaves the review text off the
     per-clause rows (callers that nest per review attach it once per review).
@@ -142,7 +141,8 @@ def run_scored(df: DataFrame, key: str, text_col: str, category_model: CF.NBMode
     items = pre.select(key, text_col, "model_status", F.transform(
         CL.refine_terms_array(F.col("_arr"), F.col("_low"), lowered=True),
         lambda c: F.struct(c["clause"].alias("clause"), c["term"].alias("term"))).alias("items"))
-    b = AN.batch_prompts(items, key, "items", batch_size, keep=[text_col])
+    # the join spreads batches over tasks and keeps the item arrays from being evaluated per batch
+    b = AN.batch_prompts(items, key, "items", batch_size).join(items.select(key, text_col), key)
     if opinion_backend == RULES:
         b = b.withColumns({"response": AN.rule_batch_response(F.col("items")), "model_status": F.lit("ok")})
     else:
