@@ -128,7 +128,7 @@ def run_scored(df: DataFrame, key: str, text_col: str, category_model: CF.NBMode
     """Online chain over a table: split + terms -> numbered opinion batches
     (cut inside each review row) -> demux -> category with score -> polarity.
 
-    The demuxed clauses are written once and scored from there. ``status`` is 'ok', 'error'
+    Model answers are written once, so the scoring branches never ask again. ``status`` is 'ok', 'error'
     (failed answer) or 'empty'; a review without clauses keeps one row with a
     null batch. ``with_sentence=False`` leaves the review text off the
     per-clause rows (callers that nest per review attach it once per review).
@@ -149,8 +149,8 @@ def run_scored(df: DataFrame, key: str, text_col: str, category_model: CF.NBMode
         b = cut_lineage(run_model(b, opinion_backend, "prompt").drop("model_error"))
     d = AN.demux_answers(b, key, "response", sentence_col=text_col, keep=["model_status"])
     status = F.when(F.col("model_status") == "error", F.lit("error")).otherwise(F.lit("ok"))
-    d = cut_lineage(d.withColumn("status", status).drop("model_status")
-                    .withColumn("_ck", F.struct(F.col(key), F.col("batch_id"), F.col("item_no"))))
+    d = (d.withColumn("status", status).drop("model_status")
+         .withColumn("_ck", F.struct(F.col(key), F.col("batch_id"), F.col("item_no"))))
     cat = CF.predict_category(category_model, d.select("_ck", "clause"), "_ck", "clause")
     pol = CF.lexicon_polarity(d.select("_ck", "clause"), lexicon, "_ck", "clause")
     out = d.join(cat, "_ck", "left").join(pol, "_ck", "left").withColumn("polarity_score", _share(F.col("score")))
