@@ -279,11 +279,12 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
         size = np.diff(np.concatenate([start, [len(tok)]]))
         lead = np.repeat(start, size)
         rest = n - pos
-        fits = (np.minimum(rest, rest[lead]) >= _least_overlap(n, n[lead], share)) & (lead != np.arange(len(tok)))
-        fits &= 100 * np.minimum(n, n[lead]) >= share * np.maximum(n, n[lead])
+        near = 100 * np.minimum(n, n[lead]) >= share * np.maximum(n, n[lead])
+        fits = near & (np.minimum(rest, rest[lead]) >= _least_overlap(n, n[lead], share)) & (lead != np.arange(len(tok)))
         leader = np.where(fits, sid[lead], sid)
-        # a run of two that cannot link is settled
-        keep = np.repeat((size > 2) | fits[np.minimum(start + 1, len(fits) - 1)], size)
+        # a run of two whose sizes cannot link is settled; only the first shared entry of a linked
+        # pair has to fit, and the counts below need all of them
+        keep = np.repeat((size > 2) | near[np.minimum(start + 1, len(near) - 1)], size)
         token = int(pdf["bucket"].iloc[0]) << 32 | tok.astype(np.int64)
         return pd.DataFrame({"token": token[keep], "sid": sid[keep], "n": n[keep], "rest": rest[keep],
                              "leader": leader[keep]})

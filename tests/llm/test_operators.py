@@ -140,6 +140,24 @@ def test_jaccard_matches_brute_force(spark, broadcast_ids):
     assert got == brute_components(rows)
 
 
+def test_jaccard_links_beside_stronger_leaders(spark):
+    # chains C-A-B-D of 100 shingles: a passage of all texts and two rare parts, neighbours share one;
+    # A and B may each ask their other neighbour, so that A-B is found through the matrix only
+    passage = " ".join(f"p{k}" for k in range(76))
+
+    def part(name):
+        return " ".join(f"{name}{k}" for k in range(14))
+
+    rows = []
+    for c in range(40):
+        x, y, z, w, v = (part(f"{p}{c}_") for p in "xyzwv")
+        rows += [(4 * c + i, f"{a} {passage} {b}") for i, (a, b) in enumerate([(x, w), (x, y), (z, y), (z, v)])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.jaccard_components(df).collect()}
+    want = brute_components(rows)
+    assert got == want and all(want[4 * c + i] == (100, 4 * c) for c in range(40) for i in range(4))
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
