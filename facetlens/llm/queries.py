@@ -37,7 +37,7 @@ def op4_toxicity(spark, sf_dir):
 
 def op5_line_templates(spark, sf_dir):
     """Digest of the cleaned texts; the operator itself returns the texts."""
-    out = drop_recurring_lines(read(spark, sf_dir, "documents"))
+    out = drop_recurring_lines(read(spark, sf_dir, "documents"), least_docs=3, least_tokens=1, least_same=2)
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("bigint").alias("n_chars_kept"),
                       F.sha2("text", 256).alias("text_sha256"))
 

@@ -271,6 +271,28 @@ def test_line_templates(spark):
         assert got[0]["text"] == "own line number words  here\nshort"
 
 
+def test_recurring_lines_of_few_documents(spark, tmp_path):
+    from facetlens.llm.queries import op5_line_templates
+
+    phone, long = "Tel 030 1234 5678 Fax 030 9999", " ".join(f"passage{c}word" for c in "abcdefgh" * 7)
+    rows = [(1, f"alone a\n{phone}\nRead on"), (2, f"alone b\n{phone}\n{long}"), (3, f"alone c\n{long}\nRead  on\n"),
+            # copies of one text, and lines of one text, are one document
+            (4, "only in copies\nof one text"), (5, "only in copies\nof one text"), (6, "only in copies\nof one text"),
+            (7, "\n".join(f"an entry of list {w}" for w in ("red", "green", "blue", "white"))),
+            # a template of three texts, in texts of their own
+            (8, "order 81 was sent to Ann"), (9, "order 92 was sent to Bob"), (10, "order 7 was sent to Cem"), (None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: "alone a", 2: "alone b", 3: "alone c\n", 8: "", 9: "", 10: "",
+            **{i: t for i, t in rows if i in (None, 4, 5, 6, 7)}}
+    for at_once in (2_000_000, 0):
+        out = line_dedup.drop_recurring_lines(docs, least_docs=3, least_tokens=1, least_same=2, keys_at_once=at_once)
+        assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+    got = {r["doc_id"]: (r["n_dropped"], r["n_chars_kept"]) for r in op5_line_templates(spark, str(tmp_path)).collect()}
+    assert {i: n for i, (_, n) in got.items()} == {i: t if t is None else len(t) for i, t in want.items()}
+    assert got[1][0] == got[2][0] == got[3][0] == 2 and got[8][0] == 1
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
