@@ -97,6 +97,38 @@ def rouge_l(df: DataFrame, g: str, p: str) -> DataFrame:
     return t.agg(F.count(F.lit(1)).alias("n"), _r(rouge_l_col(F.col("_g"), F.col("_p"))).alias("rouge_l"))
 
 
+def lcs_bits(a: list[str], b: list[str], block: int = 4096) -> int:
+    """LCS length by bit-parallel rows: one bit per token of ``b``, in blocks whose
+    carries go from one to the next, so memory is linear in the texts."""
+    carry, total = bytearray(len(a)), 0
+    for start in range(0, len(b), block):
+        part = b[start:start + block]
+        at: dict[str, int] = {}
+        for i, x in enumerate(part):
+            at[x] = at.get(x, 0) | 1 << i
+        mask = (1 << len(part)) - 1
+        v = mask
+        for j, x in enumerate(a):
+            m = at.get(x, 0)
+            s = v + (v & m) + carry[j]
+            carry[j] = s >> len(part)
+            v = s & mask | v & ~m
+        total += len(part) - v.bit_count()
+    return total
+
+
+def rouge_l_tokens(df: DataFrame, g: str, p: str) -> DataFrame:
+    """(n, rouge_l) of token columns of any length: the LCS runs in Python workers."""
+    from facetlens.session import ship_package
+
+    ship_package(df.sparkSession)
+    lcs = F.udf(lambda a, b: lcs_bits(list(a), list(b)) if a is not None and b is not None else 0, "bigint", useArrow=True)
+    t = df.select(F.size(g).cast("double").alias("_g"), F.size(p).cast("double").alias("_p"), lcs(g, p).cast("double").alias("_l"))
+    # 2 PR / (P + R) = 2 L / (|g| + |p|)
+    f = F.when(F.col("_l") > 0, 2 * F.col("_l") / (F.col("_g") + F.col("_p"))).otherwise(F.lit(0.0))
+    return t.agg(F.count(F.lit(1)).alias("n"), _r(F.coalesce(F.avg(f), F.lit(0.0))).alias("rouge_l"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
                       F.lit(0.0), lambda s, v: s + v)

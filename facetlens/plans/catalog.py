@@ -874,6 +874,15 @@ def q_rouge_l_nostem(spark, sf):
     return ME.rouge_l(pr, "g", "p")
 
 
+# whole texts, where the SQL recurrence above is too slow: tested by brute force
+@query("rouge_l_whole")
+def q_rouge_l_whole(spark, sf):
+    d = tbl(spark, sf, "documents").select(ME.rouge_tokens("text").alias("t"))
+    h = F.floor(F.size("t") / 2).cast("int")
+    pr = d.select(F.slice("t", F.lit(1), h).alias("g"), F.slice("t", h + 1, F.size("t")).alias("p"))
+    return ME.rouge_l_tokens(pr, "g", "p")
+
+
 @query("embedding_similarity", """
 WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),
 pr AS (SELECT a.vec_id, sum(CAST(a.x AS DOUBLE) * CAST(b.x AS DOUBLE)) AS dot,

@@ -124,6 +124,33 @@ def test_rouge_l_f(spark):
     assert r.rouge_l == pytest.approx((0.8 + 0 + 0) / 3, abs=1e-6)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(1, 9))
+def test_bit_parallel_lcs_matches_dynamic_programme(a, b, block):
+    assert ME.lcs_bits(a, b, block) == _lcs(a, b)
+
+
+def test_rouge_l_whole_scores_every_token(spark, tmp_path):
+    import random
+
+    from facetlens.plans import catalog
+
+    rng = random.Random(7)
+    # equal in tokens 1 to 16, different behind them
+    texts = [" ".join([f"w{k}" for k in range(16)] + [rng.choice("abcdef") for _ in range(n)]) for n in (0, 5, 90, 301)]
+    texts += [None, "", "one", "x " * 5000]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    want = 0.0
+    for t in texts:
+        w = (t or "").split()
+        g, p = w[:len(w) // 2], w[len(w) // 2:]
+        n = len(g) if t and t.startswith("x ") else _lcs(g, p)
+        want += 2 * n / max(1, len(g) + len(p)) / len(texts)
+    r = catalog.QUERIES["rouge_l_whole"](spark, str(tmp_path)).first()
+    assert (r.n, r.rouge_l) == (len(texts), pytest.approx(want, abs=1e-6))
+
+
 def test_per_category_agreement_both_over_either(spark):
     p = _pairs(spark, ["x", "x", "y", "z"], ["x", "y", "y", "z"])
     got = {r.category: (r.n_samples, r.agreement) for r in AG.per_category_agreement(p).collect()}
