@@ -9,11 +9,11 @@ so such rows are judged by their text alone and pass the near-duplicate stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetlens.llm.common import free_name, kept_table, read, shared_path
-from facetlens.llm.exact_dedup import exact_dedup
+from facetlens.llm.exact_dedup import exact_dedup, normalised
 from facetlens.llm.language import fit_language, language_of
 from facetlens.llm.packing import pack
 from facetlens.llm.quality import fit_quality, quality_score
@@ -37,18 +37,24 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
             .select(*docs.columns))
 
 
-def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not in ``gone``; a list of bounded size is broadcast, a larger one joined."""
-    name = free_name(docs, "gone_id")
-    gone = kept_table(gone.select(F.col("doc_id").alias(name)).distinct())
+def without_rows(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """Rows whose (doc_id, ``key``) is not in ``gone`` (doc_id, key): an id may name several texts.
+
+    A list of bounded size is broadcast, a larger one joined.
+    """
+    name, text = free_name(docs, "gone_id"), free_name(docs, "gone_text")
+    gone = kept_table(gone.select(F.col("doc_id").alias(name), F.col("key").alias(text)).distinct())
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(side, docs["doc_id"].cast("bigint") == F.col(name), "left_anti").select(*docs.columns)
+    same = (docs["doc_id"].cast("bigint") == F.col(name)) & (key == F.col(text))
+    return docs.join(side, same, "left_anti").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row with the smallest doc_id of every normalised text."""
     decided = kept_table(exact_dedup(docs))
-    out = without_ids(docs, decided.where("not kept and doc_id <> keep_id"))
+    out = without_rows(docs, decided.where("not kept and doc_id <> keep_id")
+                       .select("doc_id", F.xxhash64("text_sha256").alias("key")),
+                       F.xxhash64(F.sha2(normalised("text"), 256)))
     # rows that repeat the very id that stays, and copies without an id, are told apart by their text only
     rest = decided.where("not kept and (doc_id is null or doc_id <=> keep_id)")
     if not rest.head(1):
@@ -60,8 +66,6 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def _first_of_repeats(docs: DataFrame, n: str, h: str) -> DataFrame:
     from pyspark.sql import Window
 
-    from facetlens.llm.exact_dedup import normalised
-
     keyed = docs.withColumn(h, F.sha2(normalised("text"), 256))
     same = Window.partitionBy("doc_id", h).orderBy(h)
     with_id = keyed.where("doc_id is not null").withColumn(n, F.row_number().over(same))
@@ -73,8 +77,17 @@ def _first_of_repeats(docs: DataFrame, n: str, h: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of every group of near duplicates."""
-    return without_ids(docs, jaccard_components(docs).where("doc_id <> component_id"))
+    """Keep the document with the smallest doc_id of every group of near duplicates.
+
+    If that id names several texts of the group, the one with the least hash stays.
+    """
+    found = kept_table(jaccard_components(docs, by_text=True).where("n_shingles > 0 and doc_id is not null")
+                       .withColumnRenamed("text_key", "key"))
+    first = found.where("doc_id = component_id").groupBy("component", "doc_id").agg(F.min("key").alias("least"),
+                                                                                   F.max("key").alias("most"))
+    tied = found.join(first.where("least < most"), ["component", "doc_id"]).where("key > least")
+    gone = found.where("doc_id <> component_id").select("doc_id", "key").union(tied.select("doc_id", "key"))
+    return without_rows(docs, gone, F.xxhash64(F.col("text").cast("string")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

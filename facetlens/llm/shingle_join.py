@@ -156,9 +156,12 @@ def _least_overlap(n, m, share: int):
 
 def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequent: int = 200_000,
                        group_size: int = 64, broadcast_ids: int = 1_000_000,
-                       bucket_rows: int = 1_000_000) -> DataFrame:
+                       bucket_rows: int = 1_000_000, by_text: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
+    ``by_text`` adds ``text_key`` (hash of the text) and ``component`` (a hash that
+    tells components apart whose documents share their smallest doc_id).
+
     ``frequent``: how many of the most frequent shingles get an exact rank (the
     order stays right without it, only slower). ``broadcast_ids``: ids of
     documents to compare are broadcast up to this count and shuffled beyond it.
@@ -171,7 +174,7 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
     def describe(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "n", "sid", "sid2", "token", "times"]
+        names = ["doc_id", "text_key", "n", "sid", "sid2", "token", "times"]
         held, size = [], 0
 
         def often_here():
@@ -181,14 +184,16 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
             times = np.diff(np.concatenate([cut, [len(token)]]))
             many = times >= 4
             k = int(many.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 5 + [
                 pa.array(token[cut[many]].view(np.int64)), pa.array(times[many].astype(np.int64))], names=names)
 
         for b in batches:
-            for ids, some in groups_by_size(b.column(0).to_pylist(), b.column(1).to_pylist(), 2_000_000):
+            named_ = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))
+            for ids, some in groups_by_size(named_, b.column(1).to_pylist(), 2_000_000):
                 token, per = shingle_sets(some, width)
                 a, c = set_names(token, per)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(per), pa.array(a), pa.array(c)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in ids], pa.int64()), pa.array([k for _, k in ids], pa.int64()),
+                                                  pa.array(per), pa.array(a), pa.array(c)]
                                                  + [pa.nulls(len(ids), pa.int64())] * 2, names=names)
                 held.append(token)
                 size += len(token)
@@ -198,9 +203,9 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
         if size:
             yield often_here()
 
-    first = kept_table(texts.mapInArrow(describe, "doc_id bigint, n bigint, sid bigint, sid2 bigint, "
-                                                  "token bigint, times bigint"))
-    rows = first.where("token is null").select("doc_id", F.col("n").alias("n_shingles"), "sid", "sid2")
+    first = kept_table(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(
+        describe, "doc_id bigint, text_key bigint, n bigint, sid bigint, sid2 bigint, token bigint, times bigint"))
+    rows = first.where("token is null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "sid", "sid2")
     live = rows.where("n_shingles > 0 and doc_id is not null")
     classes = kept_table(live.groupBy("sid", "sid2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     # the most frequent shingles of all documents: a bounded list
@@ -408,14 +413,16 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
     links = joined.union(open_groups(open_, named.join(asked, "gid").select(F.col("sid").alias("m"), "gid", "tie"),
                                      4 * group_size))
 
-    # classes as nodes, named by their smallest document
-    edges = (links.join(rep.select(F.col("sid").alias("q"), F.col("doc_id").alias("a")), "q")
-             .join(rep.select(F.col("sid").alias("m"), F.col("doc_id").alias("b")), "m").select("a", "b"))
-    found = components(edges)
-    shared = kept_table(classes.join(found, classes["rep"] == found["node"], "left")
-                        .where("copies > 1 or label is not null")
-                        .select("sid", "sid2", F.coalesce("label", "rep").alias("shared")))
+    # classes as nodes, ordered by their smallest document and told apart by their set
+    node = rep.select("sid", F.struct("doc_id", "sid").alias("node"))
+    edges = (links.join(node.select(F.col("sid").alias("q"), F.col("node").alias("a")), "q")
+             .join(node.select(F.col("sid").alias("m"), F.col("node").alias("b")), "m").select("a", "b"))
+    found = components(edges).select(F.col("node.sid").alias("sid"), "label")
+    shared = kept_table(classes.join(found, "sid", "left").where("copies > 1 or label is not null")
+                        .select("sid", "sid2", F.coalesce("label.doc_id", "rep").alias("shared"),
+                                F.coalesce("label.sid", "sid").alias("component")))
     out = rows.join(shared, ["sid", "sid2"], "left")
+    more = ["text_key", F.coalesce("component", "sid").alias("component")] if by_text else []
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0),
                                                      F.coalesce("shared", "doc_id"))
-                      .otherwise(F.col("doc_id")).alias("component_id"))
+                      .otherwise(F.col("doc_id")).alias("component_id"), *more)

@@ -316,3 +316,35 @@ def test_pipeline_stages_keep_columns_and_drop_copies(spark, docs):
     assert len(texts) == len(set(texts)) == len({re.sub(r"[\x20\x09-\x0d]+", " ", t or "") for _, t, _ in ROWS})
     near = {r["doc_id"] for r in C.drop_near_copies(spark, base, "").collect()}
     assert 8 in near and 9 not in near and 5 in near and 6 not in near
+
+
+def test_pipeline_tells_texts_under_one_id_apart(spark):
+    import corpus_pipeline as C
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    exact = [(1, "A"), (2, "A"), (2, "B"), (3, "B"), (3, "C"), (None, "A"), (None, "D"), (4, None), (4, "E")]
+    near = [(1, a), (2, a + " end"), (2, b), (3, b + " end"), (3, "own text"), (5, c), (5, c + " end"), (5, "other words"),
+            (6, c + " end"), (None, a), (7, ""), (7, " ")]
+    # two groups that share their smallest id, and one text of each goes
+    near += [(10, "p " + a.replace("a", "q")), (10, "p " + a.replace("a", "r")), (11, a.replace("a", "q")), (11, "kept here"),
+             (12, a.replace("a", "r"))]
+
+    def left(stage, rows):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("gone_id", F.lit(1))
+        return sorted(((r["doc_id"] or 0, r["text"] or "") for r in stage(spark, df, "").collect()))
+
+    assert left(C.drop_exact_copies, exact) == [(0, "D"), (1, "A"), (2, "B"), (3, "C"), (4, ""), (4, "E")]
+    got = left(C.drop_near_copies, near)
+    five = [t for i, t in got if i == 5]
+    assert len(five) == 2 and "other words" in five and len(set(five) & {c, c + " end"}) == 1
+    gone = {(2, a + " end"), (3, b + " end"), (6, c + " end"), (11, a.replace("a", "q")), (12, a.replace("a", "r"))}
+    assert [x for x in got if x[0] != 5] == sorted((i or 0, t) for i, t in near if i != 5 and (i, t) not in gone)
+
+
+def test_unrelated_classes_under_one_id_stay_apart(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    # id 9 names texts of two groups
+    rows = [(5, a), (9, a + " end"), (9, b), (12, b + " end")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in shingle_join.jaccard_components(df).collect())
+    assert got == [(5, 5), (9, 5), (9, 9), (12, 9)]
