@@ -1,7 +1,7 @@
 """Operator 4: toxicity by a lexicon that tolerates misspelling, weighed by context.
 
 The lexicon is learned from training rows: terms whose documents are almost
-always toxic and that occur after many different words (copies of one document
+always toxic and that occur in several distinct texts (copies of one document
 do not make a term). It is kept as a trie; the words of a text are matched by
 running the Levenshtein automaton of the word over the trie, so misspelled
 terms within one edit (two for long terms) are caught. Each hit is weighed by a
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, python_ready
+from .common import held_out, kept_table, python_ready
 from .training import labelled_sample
 
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|_-~`«»„“”‚‘’…¡¿"
@@ -166,17 +166,26 @@ class _Seen(dict):
     def __missing__(self, raw: str):
         if len(self) >= self.most:
             self.clear()
-        got = self[raw] = self.trie.near(word_of(raw))
+        word = word_of(raw)   # looked up once for all its spellings with marks or capitals
+        got = self[raw] = self[word] if word != raw and word in self else self.trie.near(word)
+        self[word] = got
         return got
 
 
-def _quoted(words: list[str], upto: int, back: int = 40) -> bool:
-    """True if a quotation opened in the words before position ``upto`` is still open there."""
-    opened = 0
-    for w in words[max(0, upto - back):upto]:
-        opened += sum(c in QUOTES for c in w)
-    opened += sum(c in QUOTES for c in words[upto][:1])
-    return opened % 2 == 1
+def quoted_words(words: list[str]) -> list[bool]:
+    """For every word whether a quotation is open at its start (or opens there).
+
+    Marks open and close in turn over the whole text; a last mark without a
+    partner opens nothing.
+    """
+    per = [sum(c in QUOTES for c in w) for w in words]
+    total, before, out = sum(per), 0, []
+    pairs = total - total % 2
+    for w, n in zip(words, per):
+        at = before + (n > 0 and w[0] in QUOTES)
+        out.append(at % 2 == 1 and at <= pairs)
+        before += n
+    return out
 
 
 def hits(text: str | None, seen: _Seen, weight: np.ndarray) -> tuple[list[tuple], int]:
@@ -186,12 +195,13 @@ def hits(text: str | None, seen: _Seen, weight: np.ndarray) -> tuple[list[tuple]
     raw = [(i, m) for i, m in enumerate(map(look, words)) if m is not None]
     if not raw:
         return [], len(words)
+    inside = quoted_words(words) if any(c in text for c in QUOTES) else [False] * len(words)
     out = []
     for j, (i, (term, distance)) in enumerate(raw):
         a, b = max(0, i - WINDOW), i + WINDOW + 1
         around = [word_of(w) for w in words[a:b]]
         near = sum(1 for p, _ in raw[max(0, j - WINDOW):j + WINDOW + 1] if a <= p < b) - 1
-        quoted = _quoted(words, i)
+        quoted = inside[i]
         factor = 1.0 + 0.15 * min(near, 4) + 0.3 * any(w in ADDRESS for w in around)
         factor *= (0.3 if quoted else 1.0) * (0.6 if any(w in REPORTING for w in around) else 1.0)
         out.append((i, term, distance, float(weight[term]) * factor, quoted))
@@ -233,35 +243,23 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = 5000, contexts: int = 3, share: float = 0.004,
-                  odds: float = 8.0) -> list[tuple]:
+def learn_lexicon(sample: DataFrame, max_terms: int = 5000, least_texts: int = 3, odds: float = 8.0) -> list[tuple]:
     """Terms (term, log odds) of the sample, the strongest ``max_terms`` at most.
 
-    A term needs ``contexts`` different preceding words in toxic rows, and that
-    many for a ``share`` of those rows, so that the copies of one text count
-    once and chance words of a large sample do not count.
+    A term needs ``least_texts`` distinct toxic texts, however large the sample is;
+    copies of one text count once.
     """
-    @F.udf("array<struct<w:string, before:long>>", useArrow=True)
+    @F.udf("array<string>", useArrow=True)
     def terms(text):
-        words = [word_of(w) for w in (text or "").split()]
-        first = {}
-        for a, b in zip(["", *words], words):
-            if 3 <= len(b) <= 40 and b not in first:
-                first[b] = zlib_crc(a)
-        return [(w, h) for w, h in first.items()]
-
-    def zlib_crc(s):
-        import zlib
-        return zlib.crc32(s.encode("utf-8", "replace"))
-
-    size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return list({w for w in map(word_of, (text or "").split()) if 3 <= len(w) <= 40})
+
+    texts = kept_table(sample.select("label", "text").distinct())
+    size = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return []
-    each = sample.select("label", F.explode(terms("text")).alias("t")).select("label", "t.*")
-    # distinct (term, context) pairs per class first: copies weigh once
-    pairs = each.groupBy("w", "before").agg(F.max("label").alias("toxic"), F.min("label").alias("clean_too"))
-    n = pairs.groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("clean_too")).alias("b"))
-    n = n.where(F.col("a") >= max(contexts, share * size[1]))
+    each = texts.select("label", F.explode(terms("text")).alias("w"))
+    n = each.groupBy("w").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+    n = n.where(F.col("a") >= least_texts)
     n = n.withColumn("odds", F.log((F.col("a") + 0.5) / (size[1] + 1.0)) - F.log((F.col("b") + 0.5) / (size[0] + 1.0)))
     precise = F.col("a") >= 4 * F.col("b")
     got = n.where((F.col("odds") >= math.log(odds)) & precise).orderBy(F.desc(F.col("odds") * F.log1p("a")), "w").limit(max_terms)

@@ -208,6 +208,27 @@ def test_quotation_lowers_a_hit():
     assert quoted < plain and toxicity.hits("such a mor0n", seen, weight)[0][0][2] == 1
 
 
+def test_quotation_state_spans_the_whole_text():
+    seen, weight = toxicity._Seen(toxicity.Trie(["moron"])), np.array([5.0])
+    filler = "plain words of it " * 20
+
+    def quoted(text):
+        return [q for _, _, _, _, q in toxicity.hits(text, seen, weight)[0]]
+
+    # own words behind a long quotation, quoted words far from the mark, and a mark without a partner
+    assert quoted(f'he read "{filler}to the end" and you moron') == [False]
+    assert quoted(f'he read "{filler}such a moron" and left') == [True]
+    assert quoted(f'a 5" pipe, {filler}you moron') == [False]
+
+
+def test_lexicon_support_does_not_grow_with_the_sample(spark):
+    # a rare term of four texts, always behind the same word, in a sample of 2,000 toxic texts
+    rows = [(int(i % 2), f"text {i} with {'zork' if i % 2 else 'quiet'} w{i * 7919}") for i in range(4000)]
+    rows += [(1, f"note {i}x you snarf") for i in range(4)] + [(1, "copy you blarg")] * 50
+    got = {w for w, _ in toxicity.learn_lexicon(spark.createDataFrame(rows, "label int, text string"))}
+    assert {"zork", "snarf"} <= got and "blarg" not in got
+
+
 def test_classifiers_on_awkward_rows(spark, docs):
     rows = []
     for i in range(400):
