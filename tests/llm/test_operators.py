@@ -314,6 +314,19 @@ def test_recurring_lines_of_few_documents(spark, tmp_path):
     assert got[1][0] == got[2][0] == got[3][0] == 2 and got[8][0] == 1
 
 
+def test_recurring_lines_with_hot_texts_and_lines(spark):
+    # 400 copies of one text are salted; one line of 400 texts is joined apart from the others
+    rows = [(i, "said once\nin all texts\n\nalso twice") for i in range(400)] + [(None, "said once\nin all texts")]
+    own = ["".join("abcdefghij"[int(c)] for c in str(1000 + i)) for i in range(400)]
+    rows += [(1000 + i, f"{own[i]}\nin all texts") for i in range(400)] + [(2000, "also  twice\nthe last")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    for at_once in (2_000_000, 0):
+        out = line_dedup.drop_recurring_lines(df, least_docs=3, least_tokens=1, least_same=2, keys_at_once=at_once).collect()
+        got = {r["doc_id"]: r["text"] for r in out}
+        assert len(out) == len(rows) and {got[i] for i in range(400)} == {""} and got[None] == ""
+        assert [got[1000 + i] for i in range(400)] == own and got[2000] == "the last"
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
