@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
+from . import hard_negatives as _hard
 from . import topk as _topk
 from .common import read, shared_path
 from .language import identify_language
@@ -62,6 +63,14 @@ def op10_language(spark, sf_dir):
     return identify_language(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    """Every seventh label is wrong by one class, as in mislabelled training data."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", label)
+    return _hard.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (op1_pieces, op2_quality, op3_token_store, op4_toxicity, op5_line_templates,
-                                   op6_packing, op7_jaccard, op8_exact_dedup, op9_top_k, op10_language)}
-SQL = {"op8_exact_dedup": _exact.SQL, "op9_top_k": _topk.SQL}
+                                   op6_packing, op7_jaccard, op8_exact_dedup, op9_top_k, op10_language,
+                                   op11_hard_negatives)}
+SQL = {"op8_exact_dedup": _exact.SQL, "op9_top_k": _topk.SQL, "op11_hard_negatives": _hard.SQL}
