@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import exact_dedup as _exact
 from . import hard_negatives as _hard
 from . import topk as _topk
+from .byte_bpe import decode_ids, encode_texts
 from .common import read, shared_path
 from .language import identify_language
 from .line_dedup import drop_recurring_lines
@@ -70,7 +71,14 @@ def op11_hard_negatives(spark, sf_dir):
     return _hard.hard_negatives(rows, F.col("vec_id") % 50 == 0)
 
 
+def op12_byte_bpe(spark, sf_dir):
+    """Digests of the ids and of the bytes decoded from them."""
+    out = decode_ids(encode_texts(read(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pieces, op2_quality, op3_token_store, op4_toxicity, op5_line_templates,
                                    op6_packing, op7_jaccard, op8_exact_dedup, op9_top_k, op10_language,
-                                   op11_hard_negatives)}
+                                   op11_hard_negatives, op12_byte_bpe)}
 SQL = {"op8_exact_dedup": _exact.SQL, "op9_top_k": _topk.SQL, "op11_hard_negatives": _hard.SQL}
