@@ -9,6 +9,7 @@ from . import hard_negatives as _hard
 from . import topk as _topk
 from .byte_bpe import decode_ids, encode_texts
 from .common import read, shared_path
+from .conversation_repair import damaged, repair
 from .language import identify_language
 from .line_dedup import drop_recurring_lines
 from .packing import pack
@@ -78,7 +79,13 @@ def op12_byte_bpe(spark, sf_dir):
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_conversation_repair(spark, sf_dir):
+    """Repairs damaged conversations; the operator itself returns the repaired rows, too."""
+    out = repair(damaged(read(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 QUERIES = {f.__name__: f for f in (op1_pieces, op2_quality, op3_token_store, op4_toxicity, op5_line_templates,
                                    op6_packing, op7_jaccard, op8_exact_dedup, op9_top_k, op10_language,
-                                   op11_hard_negatives, op12_byte_bpe)}
+                                   op11_hard_negatives, op12_byte_bpe, op13_conversation_repair)}
 SQL = {"op8_exact_dedup": _exact.SQL, "op9_top_k": _topk.SQL, "op11_hard_negatives": _hard.SQL}
