@@ -87,12 +87,22 @@ class Search:
         #: state -> least cost it is known to need; raised whenever the state fails
         self.known = [[h] * 4 for h in rest]
         self.known[n] = [0 if s in ends else 5 if trailing else FAR for s in range(4)]
+        if not trailing:         # a state that no way leads from to the ends must not be searched for ever
+            self._close_dead_ends()
         self.solved = n + 1      # from this row on the entries of every STEP-th row are exact
         for start in range((n - 1) // STEP * STEP, 0, -STEP):
             for s in range(4):
                 self.audit(start, s, whole=False)
             self.solved = start
 
+    def _close_dead_ends(self) -> None:
+        alive = [s in self.ends for s in range(4)]
+        for i in range(len(self.faults) - 1, -1, -1):
+            alive = [any(alive[t] for edit, _, _, t in self.edits(i, s) if edit != "I") for s in range(4)]
+            for _ in range(2):   # at most two inserts lead to a state that was not there before
+                alive = [alive[s] or alive[WRITES[s][0]] for s in range(4)]
+            self.known[i] = [h if ok else FAR for h, ok in zip(self.known[i], alive)]
+
     def edits(self, i: int, s: int):
         """(initial, cost, next row, next state) in ASCII order."""
         there, out = i < len(self.faults), []
