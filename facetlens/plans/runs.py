@@ -154,7 +154,8 @@ def run_scored(df: DataFrame, key: str, text_col: str, category_model: CF.NBMode
     cat = CF.predict_category(category_model, d.select("_ck", "clause"), "_ck", "clause")
     pol = CF.lexicon_polarity(d.select("_ck", "clause"), lexicon, "_ck", "clause")
     out = d.join(cat, "_ck", "left").join(pol, "_ck", "left").withColumn("polarity_score", _share(F.col("score")))
-    none = items.where(F.coalesce(F.size("items"), F.lit(0)) <= 0).select(
+    # asked of the response itself: a filter on the items would be pushed down into the parse and repeat it per clause
+    none = r.where(F.coalesce(F.size(CL.parsed_clause_array(F.col("response"))), F.lit(0)) <= 0).select(
         key, F.when(F.col("model_status") == "error", F.lit("error")).otherwise(F.lit("empty")).alias("status"))
     out = out.unionByName(none, allowMissingColumns=True)
     if with_sentence:
