@@ -1,8 +1,8 @@
 """Operator 4: toxicity by a lexicon that tolerates misspelling, weighed by context.
 
 The lexicon is learned from training rows: terms whose documents are almost
-always toxic and that occur in several distinct texts (copies of one document
-do not make a term). It is kept as a trie; the words of a text are matched by
+always toxic, in more independent texts than chance explains (near copies of one
+document do not make a term). It is kept as a trie; the words of a text are matched by
 running the Levenshtein automaton of the word over the trie, so misspelled
 terms within one edit (two for long terms) are caught. Each hit is weighed by a
 window of words around it: further hits and second-person address raise the
@@ -19,6 +19,7 @@ toxic or without clean training rows the score is the known share of label 1
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -243,26 +244,75 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = 5000, least_texts: int = 3, odds: float = 8.0) -> list[tuple]:
-    """Terms (term, log odds) of the sample, the strongest ``max_terms`` at most.
+SIGNATURES = 8
 
-    A term needs ``least_texts`` distinct toxic texts, however large the sample is;
-    copies of one text count once.
+
+def signatures(words: list[str]) -> list[int]:
+    """Least hashes of a text's 5-word shingles under ``SIGNATURES`` hash functions; near copies share most of them."""
+    codes = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    codes = np.concatenate([codes, np.zeros(max(0, 5 - len(codes)), np.uint64)])
+    n, shingles = len(codes) - 4, np.zeros(len(codes) - 4, np.uint64)
+    for k in range(5):
+        shingles = shingles * np.uint64(0x9E3779B97F4A7C15) + codes[k:n + k]
+    out = []
+    for k in range(SIGNATURES):
+        x = (shingles ^ np.uint64(k + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        out.append(int((x ^ (x >> np.uint64(29))).min().astype(np.int64)))
+    return out
+
+
+def independent_texts(sample: DataFrame) -> DataFrame:
+    """(label, text): distinct texts, and of a class's near copies (equal in any signature, in turn) one."""
+    signed = F.udf(lambda t: signatures(list(map(word_of, (t or "").split()))), "array<bigint>", useArrow=True)
+    texts = kept_table(sample.select("label", "text").distinct().withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256)))
+    left = kept_table(texts.select("label", "h", signed("text").alias("s")))
+    for k in range(SIGNATURES):
+        left = (left.groupBy("label", F.col("s")[k].alias("one")).agg(F.min(F.struct("h", "s")).alias("x"))
+                .select("label", "x.h", "x.s"))
+    return texts.join(F.broadcast(kept_table(left.select("label", "h"))), ["label", "h"]).select("label", "text")
+
+
+def learn_lexicon(sample: DataFrame, least_texts: int = 3, odds: float = 8.0, chance: float = 0.05) -> list[tuple]:
+    """Terms (term, log odds) whose toxic share no chance explains, the strongest first.
+
+    Support is counted in independent texts: of near copies in one class one counts.
+    A term needs ``least_texts`` toxic ones, four times its clean ones and ``odds``.
+    If words fell on texts regardless of label, a word in n texts would meet a toxic or
+    more extreme share f with a probability of at most exp(-n * KL(f, p)), p the toxic
+    share of the texts. Of all words in ``least_texts`` texts or more those are taken,
+    from the least probable on, of which at most a share ``chance`` is expected to be
+    false (Benjamini and Hochberg's step), however large the sample.
     """
     @F.udf("array<string>", useArrow=True)
     def terms(text):
         return list({w for w in map(word_of, (text or "").split()) if 3 <= len(w) <= 40})
 
-    texts = kept_table(sample.select("label", "text").distinct())
+    texts = kept_table(independent_texts(sample))
     size = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return []
     each = texts.select("label", F.explode(terms("text")).alias("w"))
-    n = each.groupBy("w").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    n = n.where(F.col("a") >= least_texts)
+    n = kept_table(each.groupBy("w").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+                   .where(F.col("a") + F.col("b") >= least_texts).withColumn("n", F.col("a") + F.col("b")))
+    share = size[1] / (size[0] + size[1])
+    f = F.col("a") / F.col("n")
+    kl = F.col("a") * F.log(f / share) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - f) / (1 - share))).otherwise(0.0)
     n = n.withColumn("odds", F.log((F.col("a") + 0.5) / (size[1] + 1.0)) - F.log((F.col("b") + 0.5) / (size[0] + 1.0)))
-    precise = F.col("a") >= 4 * F.col("b")
-    got = n.where((F.col("odds") >= math.log(odds)) & precise).orderBy(F.desc(F.col("odds") * F.log1p("a")), "w").limit(max_terms)
+    tested = n.count()
+    n = kept_table(n.where((F.col("a") >= least_texts) & (F.col("odds") >= math.log(odds)) & (F.col("a") >= 4 * F.col("b"))
+                           & (f > share)).withColumn("tenths", F.floor(kl * 10)))
+    # from the surest words down: the last step at which chance explains few enough of the words so far
+    so_far, cut = 0, None
+    for r in n.groupBy("tenths").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("tenths")).collect():
+        so_far += r["words"]
+        if tested * math.exp(-r["tenths"] / 10) <= chance * so_far:
+            cut = r["tenths"]
+    if cut is None:
+        return []
+    got = n.where(F.col("tenths") >= cut)
+    # each term holds a share of the sample's texts: bounded by the sample, not by a rank
+    got = got.orderBy(F.desc(F.col("odds") * F.log1p("a")), "w")
     return [(r["w"], float(r["odds"])) for r in got.collect()]
 
 
@@ -279,8 +329,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40)
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6000, mod: int = 3, rest: int = 1) -> ToxicModel:
-    """Fit on at most ``per_class`` rows of each class that are not held out."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (30_000, 6_000), mod: int = 3,
+                 rest: int = 1) -> ToxicModel:
+    """Fit on at most ``per_class`` clean and toxic rows that are not held out."""
     python_ready(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", per_class, lambda c: held_out(c, mod, rest))
     lexicon = learn_lexicon(sample)

@@ -12,6 +12,7 @@ from facetlens.llm import exact_dedup, line_dedup, packing, pieces, quality, shi
 from facetlens.llm.common import shared_path
 from facetlens.llm.language import identify_language
 from facetlens.llm.tokens import END_ID
+from facetlens.llm.training import labelled_sample
 
 P = pytest.importorskip("public_tokenizers")
 LONG = " ".join(f"wort{i % 977} again" for i in range(30_000))
@@ -221,12 +222,25 @@ def test_quotation_state_spans_the_whole_text():
     assert quoted(f'a 5" pipe, {filler}you moron') == [False]
 
 
-def test_lexicon_support_does_not_grow_with_the_sample(spark):
-    # a rare term of four texts, always behind the same word, in a sample of 2,000 toxic texts
-    rows = [(int(i % 2), f"text {i} with {'zork' if i % 2 else 'quiet'} w{i * 7919}") for i in range(4000)]
-    rows += [(1, f"note {i}x you snarf") for i in range(4)] + [(1, "copy you blarg")] * 50
+def test_lexicon_holds_rare_terms_and_no_chance_words(spark):
+    """12,000 texts, half of them toxic; a term of 40 texts, words of 3 and 6 toxic texts, copies and near copies."""
+    rng = random.Random(4)
+    rows = [(int(i % 2), f"text {i} with {'zork' if i % 2 else 'quiet'} w{i * 7919} " + " ".join(f"c{rng.randrange(3000)}" for _ in range(8)))
+            for i in range(12_000)]
+    rows += [(1, f"text {i}x with quiet snarf w{i * 104729}") for i in range(40)]
+    rows += [(1, f"text {i}y with blip w{i * 1299709}") for i in range(3)] + [(1, f"text {i}z quiet blop w{i * 15485863}") for i in range(6)]
+    rows += [(1, "copy you blarg")] * 60
+    body = " ".join(f"b{i}" for i in range(400))
+    rows += [(1, f"n{i} {body} glorp") for i in range(60)]
     got = {w for w, _ in toxicity.learn_lexicon(spark.createDataFrame(rows, "label int, text string"))}
-    assert {"zork", "snarf"} <= got and "blarg" not in got
+    assert got == {"zork", "snarf"}
+
+
+def test_labelled_sample_of_one_id_repeated(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(20_000)] + [(2, "two"), (3, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1)] * 5000 + [(2, 0), (2, 0), (3, 0), (None, 1), (4, 1)], "doc_id bigint, toxic int")
+    got = labelled_sample(docs, labels, "toxic", 6, lambda c: F.lit(False)).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == [(1, "text 0", 1), (2, "two", 0), (3, None, 0)]
 
 
 def test_classifiers_on_awkward_rows(spark, docs):
