@@ -97,17 +97,18 @@ class _Packer:
 
 
 def pack(docs: DataFrame, cap: int = 4096, tokenizer: str = "word_bpe_49k.json", window: int = 1 << 20,
-         linear: float = 1.0, quadratic: float = 1.0 / 4096) -> DataFrame:
+         linear: float = 1.0, quadratic: float = 1.0 / 4096, max_words: int = 300_000) -> DataFrame:
     """Pack ``docs`` (doc_id, text); one row per piece (see ``SCHEMA``).
 
     ``window``: tokens of rests that are balanced against each other at once.
+    ``max_words``: chunks whose ids a worker holds.
     """
     python_ready(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, max_words)
         p = _Packer(cap, window, linear, quadratic, TaskContext.get().partitionId() << 33)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         kinds = pa.schema([(n, pa.int64()) for n in names])

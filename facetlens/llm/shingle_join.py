@@ -156,7 +156,7 @@ def _least_overlap(n, m, share: int):
 
 def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequent: int = 200_000,
                        group_size: int = 64, broadcast_ids: int = 1_000_000,
-                       bucket_rows: int = 1_000_000, by_text: bool = False) -> DataFrame:
+                       bucket_rows: int = 250_000, by_text: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
     ``by_text`` adds ``text_key`` (hash of the text) and ``component`` (a hash that

@@ -31,7 +31,8 @@ class ChunkIds:
     """Ids of distinct chunks, appended to one array; ``codes`` maps a chunk to its number.
 
     A missing chunk is encoded by ``encode_chunk`` on first use. ``trim`` starts
-    over once more than ``most`` chunks are held.
+    over once more than ``most`` chunks, or chunks of 32 characters each on
+    average, are held: long chunks count for their length.
     """
 
     def __init__(self, most: int):
@@ -44,16 +45,17 @@ class ChunkIds:
         class Codes(dict):
             def __missing__(self, chunk):
                 code = self[chunk] = store.add(*store.encode_chunk(chunk))
+                store.chars += len(chunk)
                 return code
 
-        self.codes = Codes()
+        self.codes, self.chars = Codes(), 0
         self.flat, self.start, self.length, self.score = array("H"), array("q"), array("q"), array("d")
 
     def encode_chunk(self, chunk: str) -> tuple[list[int], float]:
         raise NotImplementedError
 
     def trim(self) -> None:
-        if len(self.codes) > self.most:
+        if len(self.codes) > self.most or self.chars > 32 * self.most:
             self.clear()
 
     def add(self, ids: list[int], score: float = 0.0) -> int:
@@ -137,6 +139,7 @@ class WordEncoder(ChunkIds):
             before = len(codes)
             if any(c in text for c in _PYTHON_ONLY_SPACES):
                 codes.append(self.add(self._library(text)))
+                self.chars += len(text)
             else:
                 codes.extend(map(look, text.split()))
             codes.append(self.end)
