@@ -59,21 +59,16 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rest = decided.where("not kept and (doc_id is null or doc_id <=> keep_id)")
     if not rest.head(1):
         return out
-    n, h = free_name(docs, "nth"), free_name(docs, "text_key")
-    return _first_of_repeats(out, n, h)
+    return _first_of_repeats(out, free_name(docs, "text_key"))
 
 
-def _first_of_repeats(docs: DataFrame, n: str, h: str) -> DataFrame:
-    from pyspark.sql import Window
-
+def _first_of_repeats(docs: DataFrame, h: str) -> DataFrame:
+    """One row per id and text, and per text without an id; repeats are dropped before rows move, so no key is hot."""
     keyed = docs.withColumn(h, F.sha2(normalised("text"), 256))
-    same = Window.partitionBy("doc_id", h).orderBy(h)
-    with_id = keyed.where("doc_id is not null").withColumn(n, F.row_number().over(same))
-    by_text = Window.partitionBy(h).orderBy(h)
-    without = keyed.where("doc_id is null").withColumn(n, F.row_number().over(by_text))
+    with_id = keyed.where("doc_id is not null").dropDuplicates(["doc_id", h])
     known = keyed.where("doc_id is not null").select(F.col(h).alias(h + "_")).distinct()
-    without = without.join(known, F.col(h) == F.col(h + "_"), "left_anti")
-    return with_id.unionByName(without).where(F.col(n) == 1).select(*docs.columns)
+    without = keyed.where("doc_id is null").dropDuplicates([h]).join(known, F.col(h) == F.col(h + "_"), "left_anti")
+    return with_id.unionByName(without).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
