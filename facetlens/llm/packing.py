@@ -97,7 +97,7 @@ class _Packer:
 
 
 def pack(docs: DataFrame, cap: int = 4096, tokenizer: str = "word_bpe_49k.json", window: int = 1 << 20,
-         linear: float = 1.0, quadratic: float = 1.0 / 4096, max_words: int = 300_000) -> DataFrame:
+         linear: float = 1.0, quadratic: float = 1.0 / 4096, max_words: int = 700_000) -> DataFrame:
     """Pack ``docs`` (doc_id, text); one row per piece (see ``SCHEMA``).
 
     ``window``: tokens of rests that are balanced against each other at once.
