@@ -86,8 +86,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 4096 tokens."""
-    return pack(docs)
+    """Pack what is left into sequences of 4096 tokens; a small word cache, since earlier stages left memory in use."""
+    return pack(docs, max_words=300_000)
 
 
 STAGES = [("quality", keep_good_quality), ("language", keep_known_language), ("exact_dedup", drop_exact_copies),
