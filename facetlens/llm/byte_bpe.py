@@ -8,7 +8,8 @@ different ones arise, so they are numbered with a composition table and the
 automaton runs as a prefix scan over whole batches: columns of many chunks at
 once, then the chunks among each other, then the states inside each chunk. No
 regular expression is used. The slices between the boundaries are looked up in
-a cache of merged pieces; new ones are merged pair by pair, lowest rank first.
+a cache of merged pieces; the new ones of a batch are merged together, row by
+row the pair of lowest rank first.
 
 The end of every token in the UTF-8 text is kept beside the ids, so any token
 range is decoded, or traced to its text, without the tokens before it.
@@ -36,6 +37,8 @@ from .tokens import ChunkIds, groups_by_size
 
 RANKS = "byte_bpe_50k.tiktoken"
 SEGMENT = 1_000_000     # characters of a long text that are scanned at once
+LONG = 64               # bytes; longer pieces are merged one by one with a queue
+MERGED_ROWS = 16_384    # pieces merged at once
 
 # classes of code points, and the start of a text
 START, SPACE, BLANK, LETTER, NUMBER, OTHER, QUOTE, ONE, L, V, R, E = range(12)
@@ -141,27 +144,57 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the adjacent pair of lowest rank is merged first, the left one of equals."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    if n > 64:
-        return _merged_long(piece, ranks)
-    parts = [piece[i:i + 1] for i in range(n)]
-    pairs = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
-    while pairs:
-        i = min(range(len(pairs)), key=pairs.__getitem__)
-        if pairs[i] == 1 << 60:
-            break
-        parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
-        if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
-    return [ranks[p] for p in parts]
+class PairMerger:
+    """Merges the bytes of many pre-tokens at once: one row each, one merge a row and step.
+
+    In every row the adjacent pair of lowest rank is merged, the left one of
+    equals; a row without a pair that forms a token is done and leaves the matrix.
+    """
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        joins = {a << 16 | b: whole for token, whole in ranks.items() for i in range(1, len(token))
+                 if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None}
+        self.pairs = np.array(sorted(joins), np.uint32)       # left id << 16 | right id
+        self.forms = np.array([joins[k] for k in self.pairs.tolist()], np.int32)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+
+    def form(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Id (which is the rank) of the token that each pair forms, or NONE; -1 stands behind a row's end."""
+        key = left.astype(np.uint32) << np.uint32(16) | right.astype(np.uint32) & np.uint32(0xFFFF)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (right >= 0) & (left >= 0), self.forms[at], self.NONE)
+
+    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of every piece, none empty; rows are as wide as the longest piece."""
+        sizes = np.array([len(p) for p in pieces])
+        width = int(sizes.max()) + 1                          # a column behind every row's end
+        ids = np.full((len(pieces), width), -1, np.int32)
+        ids[np.arange(width) < sizes[:, None]] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        rank = self.form(ids[:, :-1], ids[:, 1:])
+        row, out, columns = np.arange(len(pieces)), [None] * len(pieces), np.arange(width)
+        while len(row):
+            at = rank.argmin(1)
+            least = rank[np.arange(len(row)), at]
+            open_ = least != self.NONE
+            if not open_.all():
+                done = ids[~open_]
+                for r, x, n in zip(row[~open_].tolist(), done, (done >= 0).sum(1).tolist()):
+                    out[r] = x[:n]
+                row, ids, rank, at, least = row[open_], ids[open_], rank[open_], at[open_], least[open_]
+                if not len(row):
+                    break
+            here = np.arange(len(row))
+            ids[:, :-1] = np.where(columns[:-1] > at[:, None], ids[:, 1:], ids[:, :-1])
+            ids[:, -1] = -1
+            ids[here, at] = least
+            rank[:, :-1] = np.where(columns[:-2] >= at[:, None], rank[:, 1:], rank[:, :-1])
+            rank[:, -1] = self.NONE
+            rank[here, at] = self.form(least, ids[here, at + 1])
+            inner = np.flatnonzero(at)
+            rank[inner, at[inner] - 1] = self.form(ids[inner, at[inner] - 1], least[inner])
+        return out
 
 
 def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -205,6 +238,7 @@ class ByteEncoder(ChunkIds):
         self.ranks = read_ranks(path)
         if max(self.ranks.values()) >= 1 << 16:
             raise ValueError("ids are kept in 16 bits")
+        self.merger = PairMerger(self.ranks)
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for t, k in self.ranks.items():
             self.tokens[k] = t
@@ -213,7 +247,32 @@ class ByteEncoder(ChunkIds):
         super().__init__(max_pieces)
 
     def encode_chunk(self, chunk: str) -> tuple[list[int], float]:
-        return merged(chunk.encode("utf-8", "replace"), self.ranks), 0.0
+        """A single piece of any length."""
+        piece = chunk.encode("utf-8", "replace")
+        whole = self.ranks.get(piece)
+        return ([whole] if whole is not None else _merged_long(piece, self.ranks)), 0.0
+
+    def learn(self, chunks: list[str]) -> None:
+        """Add new pieces to the cache, those of similar lengths merged together."""
+        by_width: dict[int, list[tuple[str, bytes]]] = {}
+        for chunk in chunks:
+            piece = chunk.encode("utf-8", "replace")
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                self.put(chunk, (whole,))
+            elif len(piece) <= LONG:
+                by_width.setdefault(-(-len(piece) // 4), []).append((chunk, piece))
+            else:
+                self.codes[chunk]
+        for pairs in by_width.values():
+            for at in range(0, len(pairs), MERGED_ROWS):
+                part = pairs[at:at + MERGED_ROWS]
+                for (chunk, _), ids in zip(part, self.merger.merge([p for _, p in part])):
+                    self.put(chunk, ids.tolist())
+
+    def put(self, chunk: str, ids) -> None:
+        self.codes[chunk] = self.add(ids)
+        self.chars += len(chunk)
 
     def trim(self) -> None:
         # long pieces, too, count against the room of the cache
@@ -265,8 +324,9 @@ class ByteEncoder(ChunkIds):
         ends = np.append(cuts[1:], len(codes))
         mine = codes[cuts] != START
         per_text = np.diff(np.searchsorted(cuts[mine], np.append(starts, len(codes))))
-        look = self.codes.__getitem__
-        found = [look(joined[a:b]) for a, b in zip(cuts[mine].tolist(), ends[mine].tolist())]
+        pieces = [joined[a:b] for a, b in zip(cuts[mine].tolist(), ends[mine].tolist())]
+        self.learn(list(set(pieces).difference(self.codes)))
+        found = list(map(self.codes.__getitem__, pieces))
         flat, per, _ = self.gather(found, per_text.tolist())
         return flat, per
 
