@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import python_ready
-from .tokens import ChunkIds, groups_by_size
+from .tokens import ChunkIds
 
 RANKS = "byte_bpe_50k.tiktoken"
 SEGMENT = 1_000_000     # characters of a long text that are scanned at once
@@ -166,22 +166,20 @@ class PairMerger:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where((self.pairs[at] == key) & (right >= 0) & (left >= 0), self.forms[at], self.NONE)
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of every piece, none empty; rows are as wide as the longest piece."""
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, none empty, and ids per piece; rows are as wide as the longest piece."""
         sizes = np.array([len(p) for p in pieces])
         width = int(sizes.max()) + 1                          # a column behind every row's end
         ids = np.full((len(pieces), width), -1, np.int32)
         ids[np.arange(width) < sizes[:, None]] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
         rank = self.form(ids[:, :-1], ids[:, 1:])
-        row, out, columns = np.arange(len(pieces)), [None] * len(pieces), np.arange(width)
+        row, out, columns = np.arange(len(pieces)), np.full_like(ids, -1), np.arange(width)
         while len(row):
             at = rank.argmin(1)
             least = rank[np.arange(len(row)), at]
             open_ = least != self.NONE
             if not open_.all():
-                done = ids[~open_]
-                for r, x, n in zip(row[~open_].tolist(), done, (done >= 0).sum(1).tolist()):
-                    out[r] = x[:n]
+                out[row[~open_]] = ids[~open_]
                 row, ids, rank, at, least = row[open_], ids[open_], rank[open_], at[open_], least[open_]
                 if not len(row):
                     break
@@ -194,7 +192,7 @@ class PairMerger:
             rank[here, at] = self.form(least, ids[here, at + 1])
             inner = np.flatnonzero(at)
             rank[inner, at[inner] - 1] = self.form(ids[inner, at[inner] - 1], least[inner])
-        return out
+        return out[out >= 0], (out >= 0).sum(1)
 
 
 def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -231,6 +229,19 @@ def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class ByteDecoder:
+    """Bytes of token ids."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for t, k in ranks.items():
+            self.tokens[k] = t
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
+
 class ByteEncoder(ChunkIds):
     """Encodes lists of texts; caches ids of at most ``max_pieces`` pre-tokens."""
 
@@ -239,10 +250,8 @@ class ByteEncoder(ChunkIds):
         if max(self.ranks.values()) >= 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.merger = PairMerger(self.ranks)
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for t, k in self.ranks.items():
-            self.tokens[k] = t
-        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.sizes[list(self.ranks.values())] = [len(t) for t in self.ranks]
         self.scanner = Scanner()
         super().__init__(max_pieces)
 
@@ -255,24 +264,31 @@ class ByteEncoder(ChunkIds):
     def learn(self, chunks: list[str]) -> None:
         """Add new pieces to the cache, those of similar lengths merged together."""
         by_width: dict[int, list[tuple[str, bytes]]] = {}
+        known: list[tuple[str, int]] = []
         for chunk in chunks:
             piece = chunk.encode("utf-8", "replace")
             whole = self.ranks.get(piece)
             if whole is not None:
-                self.put(chunk, (whole,))
+                known.append((chunk, whole))
             elif len(piece) <= LONG:
                 by_width.setdefault(-(-len(piece) // 4), []).append((chunk, piece))
             else:
                 self.codes[chunk]
+        self.put([c for c, _ in known], np.array([i for _, i in known]), np.ones(len(known), np.int64))
         for pairs in by_width.values():
             for at in range(0, len(pairs), MERGED_ROWS):
                 part = pairs[at:at + MERGED_ROWS]
-                for (chunk, _), ids in zip(part, self.merger.merge([p for _, p in part])):
-                    self.put(chunk, ids.tolist())
-
-    def put(self, chunk: str, ids) -> None:
-        self.codes[chunk] = self.add(ids)
-        self.chars += len(chunk)
+                self.put([c for c, _ in part], *self.merger.merge([p for _, p in part]))
+
+    def put(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Cache the ids of chunks, ``sizes`` of them each."""
+        first = len(self.start)
+        self.start.frombytes((len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int64).tobytes())
+        self.length.frombytes(sizes.astype(np.int64).tobytes())
+        self.score.frombytes(bytes(8 * len(chunks)))
+        self.flat.frombytes(ids.astype(np.uint16).tobytes())
+        self.codes.update(zip(chunks, range(first, first + len(chunks))))
+        self.chars += sum(map(len, chunks))
 
     def trim(self) -> None:
         # long pieces, too, count against the room of the cache
@@ -325,7 +341,7 @@ class ByteEncoder(ChunkIds):
         mine = codes[cuts] != START
         per_text = np.diff(np.searchsorted(cuts[mine], np.append(starts, len(codes))))
         pieces = [joined[a:b] for a, b in zip(cuts[mine].tolist(), ends[mine].tolist())]
-        self.learn(list(set(pieces).difference(self.codes)))
+        self.learn([p for p in set(pieces) if p not in self.codes])
         found = list(map(self.codes.__getitem__, pieces))
         flat, per, _ = self.gather(found, per_text.tolist())
         return flat, per
@@ -334,20 +350,37 @@ class ByteEncoder(ChunkIds):
         """Where each token ends in the text's UTF-8 bytes."""
         return np.cumsum(self.sizes[ids])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
+_KEPT: dict[tuple[str, type], ByteEncoder | ByteDecoder] = {}
 
-_ENCODERS: dict[str, ByteEncoder] = {}
+
+def _kept(name: str, kind: type):
+    """The worker's encoder or decoder for a public ranks file (kept between tasks)."""
+    import public_tokenizers
+
+    if (name, kind) not in _KEPT:
+        _KEPT[name, kind] = kind(public_tokenizers.path(name))
+    return _KEPT[name, kind]
 
 
 def encoder(name: str = RANKS) -> ByteEncoder:
-    """The worker's encoder for a public ranks file (kept between tasks)."""
-    import public_tokenizers
+    return _kept(name, ByteEncoder)
+
 
-    if name not in _ENCODERS:
-        _ENCODERS[name] = ByteEncoder(public_tokenizers.path(name))
-    return _ENCODERS[name]
+def decoder(name: str = RANKS) -> ByteDecoder:
+    return _kept(name, ByteDecoder)
+
+
+def slices(batch, column: int, size: int = 4_000_000):
+    """Parts of an Arrow batch with about ``size`` bytes in a binary column each, at least one row."""
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = 0
+    for upto in [*(np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1).tolist(), len(lengths)]:
+        if upto > at:
+            yield batch.slice(at, upto - at)
+            at = upto
 
 
 def encode_texts(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -359,12 +392,12 @@ def encode_texts(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 
         enc = encoder(ranks)
         for b in batches:
-            texts = [(t or b"").decode("utf-8", "replace") for t in b.column(1).to_pylist()]
-            for doc_ids, part in groups_by_size(b.column(0).to_pylist(), texts):
-                flat, per = enc.encode(part)
+            for part in slices(b, 1):
+                texts = [(t or b"").decode("utf-8", "replace") for t in part.column(1).to_pylist()]
+                flat, per = enc.encode(texts)
                 ids = np.split(flat, np.cumsum(per)[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(per, pa.int64()),
+                    [part.column(0), pa.array(per, pa.int64()),
                      pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
                      pa.array([enc.ends(x).astype("<i8").tobytes() for x in ids], pa.binary())],
                     names=["doc_id", "n_tokens", "ids", "ends"])
@@ -380,12 +413,12 @@ def decode_ids(encoded: DataFrame, ranks: str = RANKS, first: int = 0, upto: int
     def run(batches):
         import pyarrow as pa
 
-        enc = encoder(ranks)
-        for b in batches:
+        dec = decoder(ranks)
+        for b in (part for whole in batches for part in slices(whole, whole.schema.get_field_index("ends"))):
             texts, offsets = [], []
-            for ids, ends in zip(b.column("ids").to_pylist(), b.column("ends").to_pylist()):
-                texts.append(enc.decode(np.frombuffer(ids, "<u4")[first:upto]))
-                ends = np.frombuffer(ends, "<i8")
+            for ids, ends in zip(b.column("ids"), b.column("ends")):
+                texts.append(dec.decode(np.frombuffer(ids.as_buffer(), "<u4")[first:upto]))
+                ends = np.frombuffer(ends.as_buffer(), "<i8")
                 offsets.append(int(ends[min(first, len(ends)) - 1]) if first and len(ends) else 0)
             yield b.append_column("decoded", pa.array(texts, pa.binary())).append_column("offset", pa.array(offsets, pa.int64()))
 
