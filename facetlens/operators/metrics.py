@@ -8,11 +8,14 @@ only shuffle over the pair data is that one aggregate. Text metrics are single
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetlens.functions.stem import porter_stems
 from facetlens.functions.text import normalize, strip_ws
+from facetlens.session import cut_lineage
 
 NDIGITS = 6
 
@@ -117,16 +120,76 @@ def lcs_bits(a: list[str], b: list[str], block: int = 4096) -> int:
     return total
 
 
+def stemmed_tokens(rows: DataFrame, key: str, cols: list[str], broadcast_bytes: int = 64 << 20, salts: int = 16) -> DataFrame:
+    """(key, cols): the token arrays ``cols`` with words of over three letters replaced by their Porter stems.
+
+    Only distinct words are stemmed, and only stems that differ from their word
+    are looked up: broadcast up to ``broadcast_bytes`` of them, else joined with
+    every word dealt over ``salts`` parts, since a few words make up much of any text.
+    """
+    def tagged(side: int, c: str) -> Column:
+        return F.transform(F.col(c), lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), x.alias("word")))
+
+    tokens = F.concat(*[tagged(k, c) for k, c in enumerate(cols)])
+    long = rows.select(key, F.explode(tokens).alias("t")).select(key, "t.*")
+    words = long.select("word").where(F.length("word") > 3).distinct()
+    stems = cut_lineage(porter_stems(words)).where("stem <> word")
+    size = stems.agg(F.sum(F.length("word") + F.length("stem") + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
+        found = long.join(F.broadcast(stems), "word", "left")
+    else:
+        dealt = stems.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = long.withColumn("salt", F.pmod(F.xxhash64(key, "pos"), F.lit(salts)).cast("int")).join(
+            dealt, ["word", "salt"], "left")
+    token = F.struct("pos", F.coalesce("stem", "word").alias("word"))
+    return found.groupBy(key).agg(*[
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == k, token))), lambda t: t["word"]).alias(c)
+        for k, c in enumerate(cols)])
+
+
+def lcs_lengths():
+    """Arrow batch function: LCS length of two columns of token arrays."""
+    @F.pandas_udf("bigint")
+    def lengths(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([lcs_bits(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
+
+    return lengths
+
+
+def rouge_pairs(df: DataFrame, g: str, p: str) -> DataFrame:
+    """(g, p, n, rouge_l): stemmed ROUGE-L F of every distinct pair of texts and how often it occurs; null is an empty text."""
+    from facetlens.session import ship_package
+
+    ship_package(df.sparkSession)
+    pairs = df.groupBy(F.coalesce(g, F.lit("")).alias("_g"), F.coalesce(p, F.lit("")).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    # a text may hold any character: the length keeps the two apart
+    key = F.sha2(F.concat(F.length("_g").cast("string"), F.lit(":"), "_g", "_p"), 256)
+    pairs = cut_lineage(pairs.withColumn("_key", key))
+    toks = stemmed_tokens(pairs.select("_key", *[rouge_tokens(c).alias(c) for c in ("_g", "_p")]), "_key", ["_g", "_p"])
+    scored = toks.select("_key", (F.size("_g") + F.size("_p")).cast("double").alias("_n"), lcs_lengths()("_g", "_p").alias("_l"))
+    # 2 PR / (P + R) = 2 L / (|g| + |p|); a pair without any token has no scored row
+    return pairs.join(scored, "_key", "left").select(
+        F.col("_g").alias(g), F.col("_p").alias(p), "n",
+        F.coalesce(F.try_divide(2 * F.col("_l"), F.col("_n")), F.lit(0.0)).alias("rouge_l"))
+
+
+def rouge_l_stemmed(df: DataFrame, g: str, p: str) -> DataFrame:
+    """(n, rouge_l): mean ROUGE-L F of stemmed tokens over all rows, scored once a distinct pair."""
+    return rouge_pairs(df, g, p).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"),
+        _r(F.coalesce(F.try_divide(F.sum(F.col("rouge_l") * F.col("n")), F.sum("n").cast("double")), F.lit(0.0))).alias("rouge_l"))
+
+
 def rouge_l_tokens(df: DataFrame, g: str, p: str) -> DataFrame:
-    """(n, rouge_l) of token columns of any length: the LCS runs in Python workers."""
+    """(n, rouge_l) of token columns of any length, unstemmed: the LCS runs in Python workers by Arrow batches."""
     from facetlens.session import ship_package
 
     ship_package(df.sparkSession)
-    lcs = F.udf(lambda a, b: lcs_bits(list(a), list(b)) if a is not None and b is not None else 0, "bigint", useArrow=True)
-    t = df.select(F.size(g).cast("double").alias("_g"), F.size(p).cast("double").alias("_p"), lcs(g, p).cast("double").alias("_l"))
-    # 2 PR / (P + R) = 2 L / (|g| + |p|)
-    f = F.when(F.col("_l") > 0, 2 * F.col("_l") / (F.col("_g") + F.col("_p"))).otherwise(F.lit(0.0))
-    return t.agg(F.count(F.lit(1)).alias("n"), _r(F.coalesce(F.avg(f), F.lit(0.0))).alias("rouge_l"))
+    none = F.array().cast("array<string>")
+    t = df.select(F.coalesce(F.col(g), none).alias("_g"), F.coalesce(F.col(p), none).alias("_p"))
+    t = t.select((F.size("_g") + F.size("_p")).cast("double").alias("_n"), lcs_lengths()("_g", "_p").alias("_l"))
+    return t.agg(F.count(F.lit(1)).alias("n"), _r(F.coalesce(F.avg(
+        F.coalesce(F.try_divide(2 * F.col("_l"), F.col("_n")), F.lit(0.0))), F.lit(0.0))).alias("rouge_l"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -143,6 +206,15 @@ def embedding_similarity(df: DataFrame, g_vec: str, p_vec: str) -> DataFrame:
                   _r(F.coalesce(F.avg(cosine(F.col(g_vec), F.col(p_vec))), F.lit(0.0))).alias("mean_cosine"))
 
 
+def paired_similarity(texts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(score): mean cosine of the vectors (text, vec) of paired texts (g, p), computed once a distinct pair."""
+    pairs = texts.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n"))
+    for side in ("g", "p"):
+        pairs = pairs.join(vectors.select(F.col("text").alias(side), F.col("vec").alias(f"{side}_vec")), side)
+    pairs = pairs.select("n", cosine(F.col("g_vec"), F.col("p_vec")).alias("cos")).where("cos is not null")
+    return pairs.agg(F.coalesce(F.try_divide(F.sum(F.col("cos") * F.col("n")), F.sum("n").cast("double")), F.lit(0.0)).alias("score"))
+
+
 def text_scores(df: DataFrame, g: str, p: str) -> DataFrame:
     gk, pk = text_key(g), text_key(p)
     return df.agg(F.count(F.lit(1)).alias("n"),
@@ -218,30 +290,34 @@ def classification_report(df: DataFrame, g: str, p: str) -> DataFrame:
 
 def evaluate(df: DataFrame, pred_prefix: str = "pred_",
              text_fields=("term", "opinion"), label_fields=("category", "polarity"),
-             rouge: bool = True) -> DataFrame:
+             rouge: bool = True, vectors: DataFrame | None = None) -> DataFrame:
     """All metrics as a long frame (metric, score): per text field exact-match F1,
-    token F1, ROUGE-L (and embedding similarity when ``<field>_vec`` columns
-    exist); per label field accuracy, macro F1, macro precision, macro recall.
-    Every string column is lower-cased first."""
+    token F1, stemmed ROUGE-L and embedding similarity; per label field accuracy,
+    macro F1, macro precision, macro recall. Every string column is lower-cased first.
+
+    ``vectors`` (text, vec) holds one vector per normalised text; ROUGE-L and the
+    similarity are computed once a distinct pair and weighted by its count, pairs
+    with a text that has no vector are left out of the similarity. Without it,
+    ``<field>_vec`` columns are compared where they exist.
+    """
     low = df.withColumns({f.name: F.lower(F.col(f.name)) for f in df.schema.fields
                           if isinstance(f.dataType, T.StringType)})
-    aggs = []
-    if rouge:
-        low = low.withColumns({c: e for k in text_fields for c, e in (
-            (f"_rg_{k}", rouge_tokens(text_key(k))), (f"_rp_{k}", rouge_tokens(text_key(pred_prefix + k))))})
+    aggs, parts = [], []
     for k in text_fields:
         gk, pk = text_key(k), text_key(pred_prefix + k)
         aggs += [exact_match_f1_col(gk, pk).alias(f"{k}_exact_match_f1"),
                  token_f1_col(gk, pk).alias(f"{k}_token_f1")]
-        if rouge:
-            aggs.append(rouge_l_col(F.col(f"_rg_{k}"), F.col(f"_rp_{k}")).alias(f"{k}_rouge_l"))
-        if f"{k}_vec" in df.columns and f"{pred_prefix}{k}_vec" in df.columns:
+        if vectors is None and f"{k}_vec" in df.columns and f"{pred_prefix}{k}_vec" in df.columns:
             aggs.append(F.coalesce(F.avg(cosine(F.col(f"{k}_vec"), F.col(f"{pred_prefix}{k}_vec"))),
                                    F.lit(0.0)).alias(f"{k}_embedding_sim"))
+        texts = low.select(gk.alias("g"), pk.alias("p"))
+        if rouge:
+            parts.append(rouge_l_stemmed(texts, "g", "p").select(F.lit(f"{k}_rouge_l").alias("metric"), F.col("rouge_l").alias("score")))
+        if vectors is not None:
+            parts.append(paired_similarity(texts, vectors).select(F.lit(f"{k}_embedding_sim").alias("metric"), "score"))
     text_row = low.agg(*aggs)
-    text_long = text_row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("score"))
-                                                    for c in text_row.columns])).alias("m")).select("m.*")
-    parts = [text_long]
+    parts.append(text_row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("score"))
+                                                     for c in text_row.columns])).alias("m")).select("m.*"))
     for k in label_fields:
         s = label_stats(confusion(low, k, pred_prefix + k))
         tp_n = s.agg(F.try_divide(F.sum("tp").cast("double"), F.sum("support").cast("double")).alias("acc"),

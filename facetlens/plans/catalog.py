@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetlens.functions import text as T
+from facetlens.functions.stem import porter_stems
 from facetlens.operators import agreement as AG
 from facetlens.operators import answers as AN
 from facetlens.operators import clauses as CL
@@ -864,14 +865,50 @@ def _rouge_f(ga: str, pa: str) -> str:
 
 
 @query("rouge_l_nostem", f"""
-WITH d AS (SELECT doc_id, {_rtok('text')} AS t FROM documents),
-pr AS (SELECT {_rtok("array_to_string(t[1:8], ' ')")} AS ga, {_rtok("array_to_string(t[9:16], ' ')")} AS pa FROM d)
+WITH pr AS (SELECT {_rtok('gold')} AS ga, {_rtok('pred')} AS pa FROM ({_P3}))
 SELECT count(*) AS n, round(coalesce(avg({_rouge_f('ga', 'pa')}), 0.0), 6) AS rouge_l FROM pr
 """)
 def q_rouge_l_nostem(spark, sf):
+    t = FX.p3_turns(spark, sf).select(ME.rouge_tokens("gold").alias("g"), ME.rouge_tokens("pred").alias("p"))
+    return ME.rouge_l_tokens(t, "g", "p")
+
+
+def _stemmed_ctes(pairs: str) -> str:
+    """CTEs that end in ``scored(g, p, f)``: stemmed ROUGE-L of the distinct pairs of ``pairs`` (g, p)."""
+    return f"""dp AS (SELECT DISTINCT g, p FROM ({pairs})),
+tw AS (SELECT g, p, 0 AS side, unnest({_rtok('g')}) AS word, generate_subscripts({_rtok('g')}, 1) AS i FROM dp
+       UNION ALL SELECT g, p, 1, unnest({_rtok('p')}), generate_subscripts({_rtok('p')}, 1) FROM dp),
+words AS (SELECT DISTINCT word FROM tw),
+{S.stem_ctes('words')},
+ts AS (SELECT g, p, coalesce(list(stem ORDER BY i) FILTER (side = 0), []) AS ga,
+              coalesce(list(stem ORDER BY i) FILTER (side = 1), []) AS pa FROM tw JOIN stems USING (word) GROUP BY g, p),
+scored AS (SELECT dp.g, dp.p, coalesce({_rouge_f('ga', 'pa')}, 0.0) AS f FROM dp LEFT JOIN ts ON ts.g = dp.g AND ts.p = dp.p)"""
+
+
+@query("rouge_l", f"""
+WITH p3 AS (SELECT coalesce(gold, '') AS g, coalesce(pred, '') AS p FROM ({_P3})), {_stemmed_ctes('SELECT g, p FROM p3')}
+SELECT count(*) AS n, round(coalesce(avg(f), 0.0), 6) AS rouge_l FROM p3 JOIN scored USING (g, p)
+""")
+def q_rouge_l(spark, sf):
+    return ME.rouge_l_stemmed(FX.p3_turns(spark, sf), "gold", "pred")
+
+
+# both halves of every whole text; the SQL recurrence is too slow there: tested by brute force
+@query("rouge_l_halves")
+def q_rouge_l_halves(spark, sf):
     d = tbl(spark, sf, "documents").select(ME.rouge_tokens("text").alias("t"))
-    pr = d.select(F.array_join(F.slice("t", 1, 8), " ").alias("g"), F.array_join(F.slice("t", 9, 8), " ").alias("p"))
-    return ME.rouge_l(pr, "g", "p")
+    h = F.floor(F.size("t") / 2).cast("int")
+    pr = d.select(F.array_join(F.slice("t", F.lit(1), h), " ").alias("g"), F.array_join(F.slice("t", h + 1, F.size("t")), " ").alias("p"))
+    return ME.rouge_l_stemmed(pr, "g", "p")
+
+
+@query("porter_stems", f"""
+WITH words AS (SELECT DISTINCT unnest({_rtok('text')}) AS word FROM documents), {S.stem_ctes('(SELECT * FROM words WHERE len(word) > 3)')}
+SELECT word, stem FROM stems
+""")
+def q_porter_stems(spark, sf):
+    words = tbl(spark, sf, "documents").select(F.explode(ME.rouge_tokens("text")).alias("word")).where(F.length("word") > 3)
+    return porter_stems(words.distinct())
 
 
 # whole texts, where the SQL recurrence above is too slow: tested by brute force
@@ -955,15 +992,17 @@ def q_classification_report(spark, sf):
 
 
 def _evaluate_sql() -> str:
-    text_rows = []
+    text_rows, pairs = [], []
     for k in ("term", "opinion"):
         g, p = _tk(f"lower({k})"), _tk(f"lower(pred_{k})")
         hit = f"list_has_any({S.tokens(g)}, {S.tokens(p)})"
         text_rows += [
             f"SELECT '{k}_exact_match_f1' AS metric, count(*) FILTER (WHERE {g} = {p}) / count(*) AS score FROM p7",
             f"SELECT '{k}_token_f1', count(*) FILTER (WHERE {hit}) / count(*) FROM p7",
-            f"SELECT '{k}_rouge_l', avg({_rouge_f(_rtok(g), _rtok(p))}) FROM p7",
+            f"SELECT '{k}_rouge_l', avg(f) FROM p7 JOIN scored ON scored.g = {g} AND scored.p = {p}",
+            f"""SELECT '{k}_embedding_sim', avg(cos) FROM p7 JOIN cosines c ON c.g = {g} AND c.p = {p}""",
         ]
+        pairs.append(f"SELECT {g} AS g, {p} AS p FROM p7")
     lab = []
     ctes = []
     for k in ("category", "polarity"):
@@ -979,15 +1018,30 @@ def _evaluate_sql() -> str:
                 f"SELECT '{k}_precision', avg(precision) FROM st2_{k}",
                 f"SELECT '{k}_recall', avg(recall) FROM st2_{k}"]
     body = "\nUNION ALL ".join(text_rows + lab)
-    return f"WITH p7 AS ({_P7}),{','.join(ctes)}\nSELECT metric, round(score, 6) AS score FROM ({body})"
+    vec = lambda x: f"(('0x' || left(md5({x}), 7))::BIGINT % (SELECT max(vec_id) + 1 FROM embeddings))"
+    cosines = f"""cosines AS (SELECT g, p, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cos
+FROM dp JOIN embeddings a ON a.vec_id = {vec('g')} JOIN embeddings b ON b.vec_id = {vec('p')})"""
+    return f"WITH p7 AS ({_P7}),{_stemmed_ctes(' UNION '.join(pairs))},{cosines},{','.join(ctes)}\nSELECT metric, round(score, 6) AS score FROM ({body})"
 
 
 _EVAL_SQL = _evaluate_sql()
 
 
+def _evaluated(spark, sf):
+    """All 16 metrics; every distinct text stands for the embedding that its digest picks."""
+    pairs = FX.p7_absa_pairs(spark, sf)
+    sides = [f"{side}{k}" for k in ("term", "opinion") for side in ("", "pred_")]
+    texts = pairs.select(F.explode(F.array(*[ME.text_key(F.lower(c)) for c in sides])).alias("text")).distinct()
+    e = tbl(spark, sf, "embeddings")
+    number = F.conv(F.substring(F.md5("text"), 1, 7), 16, 10).cast("bigint")
+    texts = texts.join(F.broadcast(e.agg((F.max("vec_id") + 1).alias("size"))))
+    vectors = texts.withColumn("vec_id", number % F.col("size")).join(e, "vec_id").select("text", F.col("embedding").alias("vec"))
+    return ME.evaluate(pairs, vectors=vectors)
+
+
 @query("evaluate_all", _EVAL_SQL)
 def q_evaluate_all(spark, sf):
-    return ME.evaluate(FX.p7_absa_pairs(spark, sf))
+    return _evaluated(spark, sf)
 
 
 @query("metric_tables", f"""
@@ -998,7 +1052,7 @@ SELECT CASE WHEN contains(metric, 'term') OR contains(metric, 'opinion') THEN 't
 FROM ({_EVAL_SQL})
 """)
 def q_metric_tables(spark, sf):
-    return ME.metric_tables(ME.evaluate(FX.p7_absa_pairs(spark, sf)))
+    return ME.metric_tables(_evaluated(spark, sf))
 
 
 @query("wrong_rows", f"""
