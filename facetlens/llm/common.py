@@ -58,6 +58,13 @@ def hot_keys(counts: DataFrame, key: str, total: int, parts: int, least: int = 6
             .select(key, F.ceil(F.col("n") / bound).cast("int").alias("n_salts")))
 
 
+def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Let no Arrow batch to a Python worker exceed about ``size`` bytes (and one row), unless the cluster sets its own bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, str(size))
+
+
 def python_ready(spark: SparkSession) -> None:
     """Ship the library to the executors before Python stages use it."""
     ship_package(spark)

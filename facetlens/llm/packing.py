@@ -97,11 +97,11 @@ class _Packer:
 
 
 def pack(docs: DataFrame, cap: int = 4096, tokenizer: str = "word_bpe_49k.json", window: int = 1 << 20,
-         linear: float = 1.0, quadratic: float = 1.0 / 4096, max_words: int = 700_000) -> DataFrame:
+         linear: float = 1.0, quadratic: float = 1.0 / 4096, max_words: int = 700_000, chars: int = 4_000_000) -> DataFrame:
     """Pack ``docs`` (doc_id, text); one row per piece (see ``SCHEMA``).
 
     ``window``: tokens of rests that are balanced against each other at once.
-    ``max_words``: chunks whose ids a worker holds.
+    ``max_words``: chunks whose ids a worker holds; ``chars``: text that is encoded at once.
     """
     python_ready(docs.sparkSession)
 
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, cap: int = 4096, tokenizer: str = "word_bpe_49k.json",
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=kinds)
 
         for b in batches:
-            for ids, texts in groups_by_size(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, texts in groups_by_size(b.column(0).to_pylist(), b.column(1).to_pylist(), chars):
                 flat, per = enc.encode(texts)
                 ends = np.cumsum(per)
                 for doc, a, e in zip(ids, ends - per, ends):
