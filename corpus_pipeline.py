@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlens.llm.common import free_name, kept_table, read, shared_path
+from facetlens.llm.common import free_name, kept_table, read, shared_path, small_batches
 from facetlens.llm.exact_dedup import exact_dedup, normalised
 from facetlens.llm.language import fit_language, language_of
 from facetlens.llm.packing import pack
@@ -86,8 +86,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 4096 tokens; a small word cache, since earlier stages left memory in use."""
-    return pack(docs, max_words=300_000)
+    """Pack what is left into sequences of 4096 tokens; small caches and batches, since earlier stages left memory in use."""
+    small_batches(spark)
+    return pack(docs, max_words=200_000, chars=1_000_000)
 
 
 STAGES = [("quality", keep_good_quality), ("language", keep_known_language), ("exact_dedup", drop_exact_copies),
