@@ -58,12 +58,36 @@ def audit_clauses(df: DataFrame, key: str = "doc_id", text_col: str = "text") ->
     return df.select(
         key,
         F.size(arr).alias("n_clauses"),
-        F.forall(arr, lambda s: F.instr(t, s["clause"]) > 0).alias("all_substrings"),
+        all_found(arr, t).alias("all_substrings"),
         F.forall(arr, lambda s: s["clause"] != "").alias("no_blank"),
         F.round(F.try_divide(covered.cast("double"), nonspace(t).cast("double")), 6).alias("coverage"),
     )
 
 
+def all_found(arr: Column, text: Column) -> Column:
+    """True if every clause occurs in the text; each search goes on behind the last match.
+
+    What is left of the text is kept as bytes, which are cut without counting
+    characters, so clauses in text order cost one scan of the text; a clause
+    that is not found ahead is looked for in the whole text.
+    """
+    start = F.struct(text.cast("binary").alias("rest"), F.lit(True).alias("ok"))
+
+    def search(acc: Column, s: Column) -> Column:
+        return F.struct(acc.alias("acc"), s["clause"].alias("clause"), F.instr(acc["rest"].cast("string"), s["clause"]).alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        def put(x: Column) -> Column:
+            rest, clause, at = x["acc"]["rest"], x["clause"], x["at"]
+            behind = F.octet_length(F.left(rest.cast("string"), at - 1)) + F.octet_length(clause) + 1
+            return F.when(at > 0, F.struct(F.substring(rest, behind, F.octet_length(rest)).alias("rest"), x["acc"]["ok"].alias("ok"))).otherwise(
+                F.struct(rest.alias("rest"), (x["acc"]["ok"] & (F.instr(text, clause) > 0)).alias("ok")))
+
+        return F.transform(F.array(search(acc, s)), put)[0]
+
+    return F.coalesce(F.aggregate(arr, start, step, lambda acc: acc["ok"]), arr.isNull())
+
+
 # ---------------------------------------------------------------- response parsing
 
 def _response_lines(resp) -> Column:
@@ -76,7 +100,8 @@ def parsed_clause_array(resp) -> Column:
 
     A line with the marker is cut into clause and term (``Clause:`` removed);
     a line without it is a clause verbatim. A blank or missing term takes the
-    most recent non-blank term of an earlier line; before any, ''.
+    most recent non-blank term of an earlier line; before any, ''. Every given
+    term is repeated up to the next one, so the cost is linear in the lines.
     """
     r = resp if isinstance(resp, Column) else F.col(resp)
 
@@ -89,16 +114,25 @@ def parsed_clause_array(resp) -> Column:
                         F.when(given != "", given).alias("given"),
                         (F.size(parts) - 1).alias("n_markers"))
 
-    items = F.transform(_response_lines(r), one)
-    init = F.struct(F.array().cast("array<struct<clause:string,term:string,n_markers:int>>").alias("out"),
-                    F.lit("").alias("last"))
-
-    def step(acc, it):
-        term = F.coalesce(it["given"], acc["last"])
-        row = F.struct(it["clause"].alias("clause"), term.alias("term"), it["n_markers"].alias("n_markers"))
-        return F.struct(F.concat(acc["out"], F.array(row)).alias("out"), term.alias("last"))
-
-    return F.aggregate(items, init, step)["out"]
+    # each step binds its array once: lambdas only read finished values
+    def found(items: Column) -> Column:
+        places = F.transform(items, lambda it, i: F.when(it["given"].isNotNull(), i))
+        return F.struct(items.alias("items"), F.filter(places, lambda p: p.isNotNull()).alias("at"))
+
+    def bounded(x: Column) -> Column:
+        n = F.size(x["items"])
+        return F.struct(x["items"].alias("items"), x["at"].alias("at"), F.coalesce(F.get(x["at"], 0), n).alias("first"),
+                        F.concat(F.slice(x["at"], 2, 1 << 30), F.array(n)).alias("ends"))
+
+    def carried(x: Column) -> Column:
+        runs = F.zip_with(x["at"], F.slice(x["ends"], 1, F.size(x["at"])),
+                          lambda p, e: F.array_repeat(F.get(x["items"], p)["given"], e - p))
+        terms = F.flatten(F.concat(F.array(F.array_repeat(F.lit(""), x["first"])), runs))
+        return F.zip_with(x["items"], terms, lambda it, t: F.struct(
+            it["clause"].alias("clause"), t.alias("term"), it["n_markers"].alias("n_markers")))
+
+    whole = F.array(F.transform(_response_lines(r), one))
+    return F.transform(F.transform(F.transform(whole, found), bounded), carried)[0]
 
 
 def parse_clauses(df: DataFrame, key: str, resp_col: str = "response",
