@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready
+from .common import python_ready, small_batches
 from .tokens import ChunkIds
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -245,7 +245,7 @@ class ByteDecoder:
 class ByteEncoder(ChunkIds):
     """Encodes lists of texts; caches ids of at most ``max_pieces`` pre-tokens."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_pieces: int = 250_000):
         self.ranks = read_ranks(path)
         if max(self.ranks.values()) >= 1 << 16:
             raise ValueError("ids are kept in 16 bits")
@@ -386,6 +386,7 @@ def slices(batch, column: int, size: int = 4_000_000):
 def encode_texts(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian 32-bit), ends (byte offset behind each token, 64-bit)."""
     python_ready(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -409,6 +410,7 @@ def encode_texts(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 def decode_ids(encoded: DataFrame, ranks: str = RANKS, first: int = 0, upto: int | None = None) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes of tokens ``first`` to ``upto`` of every row, and their ``offset`` in the text."""
     python_ready(encoded.sparkSession)
+    small_batches(encoded.sparkSession)
 
     def run(batches):
         import pyarrow as pa
