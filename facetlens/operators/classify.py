@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from facetlens.functions.text import capitalize, strip_ws
 from facetlens.operators.clauses import INTENSIFIERS, NEGATIONS
-from facetlens.session import sized_broadcast
+from facetlens.session import cut_lineage, sized_broadcast
 
 # Polarity ids of the sentiment model, in id order.
 POLARITY_LABELS = {0: "Negative", 1: "Neutral", 2: "Positive"}
@@ -266,26 +266,21 @@ def centroids(df: DataFrame, label: str, vec: str) -> DataFrame:
     return ex.groupBy(label, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def nearest_centroid(df: DataFrame, label: str, vec: str, key: str,
-                     max_cells: int = 4_000_000) -> DataFrame:
+def nearest_centroid(df: DataFrame, label: str, vec: str, key: str, block_bytes: int = 8 << 20) -> DataFrame:
     """Predict the class whose centroid has the highest cosine (ties -> lowest label).
 
-    The centroid matrix is classes x dims; its size is checked and it is then
-    embedded as an array literal, so each vector is scored inside its row with
-    array functions (no join, no shuffle on the vector side).
+    Centroids lie in blocks of about ``block_bytes``. A single block is
+    broadcast and vectors are scored where they are. Of several, each is dealt
+    over as many tasks as a shuffle has, distinct vectors meet every block, and
+    only the best class of each block is shuffled for the last comparison.
+    A vector that no centroid can be compared with gets the lowest label.
     """
-    cen = centroids(df, label, vec)
-    n_cells = cen.count()
-    if n_cells > max_cells:
-        raise ValueError(f"centroid matrix has {n_cells} cells (> {max_cells})")
-    rows = cen.collect()
-    by_label: dict = {}
-    for r in rows:
-        by_label.setdefault(r[label], {})[r["dim"]] = r["mean"]
-    labels = sorted(by_label)
-    mats = [[by_label[l][d] for d in sorted(by_label[l])] for l in labels]
-    cen_col = F.array(*[F.struct(F.lit(l).alias("label"), F.array(*[F.lit(float(x)) for x in m]).alias("c"))
-                        for l, m in zip(labels, mats)])
+    cells = cut_lineage(centroids(df.where(F.col(label).isNotNull()), label, vec))
+    n = max(1, math.ceil(8 * cells.count() / block_bytes))
+    by_dim = F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"])
+    classes = cells.groupBy(F.col(label).alias("_label")).agg(by_dim.alias("c"))
+    blocks = classes.groupBy(F.pmod(F.xxhash64("_label"), F.lit(n)).cast("int").alias("_block")).agg(
+        F.collect_list(F.struct(F.col("_label").alias("label"), "c")).alias("_classes"))
     v = F.col(vec)
 
     def cos(c):
@@ -294,10 +289,21 @@ def nearest_centroid(df: DataFrame, label: str, vec: str, key: str,
         nc = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
         return F.try_divide(dot, nv * nc)
 
-    scored = F.transform(cen_col, lambda e: F.struct(cos(e["c"]).alias("cos"), e["label"].alias("label")))
-    best = F.aggregate(scored, F.try_element_at(scored, F.lit(1)),
-                       lambda acc, x: F.when(x["cos"] > acc["cos"], x).otherwise(acc))
-    return df.select(key, label, best["label"].alias("pred_label"))
+    # the least of (negative cosine, label)
+    best = F.array_min(F.transform("_classes", lambda e: F.struct(
+        (-F.coalesce(cos(e["c"]), F.lit(-2.0))).alias("loss"), e["label"].alias("label")))).alias("_best")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block")
+    if n == 1:
+        return df.select(key, label, vec, every).join(F.broadcast(blocks), "_block", "left").select(
+            key, label, best).select(key, label, F.col("_best.label").alias("pred_label"))
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.groupBy(key, label, vec).agg(F.count(F.lit(1)).alias("_n")).select(
+        "*", every, F.pmod(F.xxhash64(key, vec), F.lit(salts)).cast("int").alias("_salt"))
+    dealt = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = rows.join(dealt, ["_block", "_salt"], "left").select(key, label, F.xxhash64(vec).alias("_vec"), "_n", best)
+    return (found.groupBy(key, label, "_vec", "_n").agg(F.min("_best").alias("_best"))
+            .select(key, label, F.col("_best.label").alias("pred_label"), F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))).alias("_i"))
+            .drop("_i"))
 
 
 # ---------------------------------------------------------------- logistic regression
