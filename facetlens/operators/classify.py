@@ -222,6 +222,10 @@ def decode_polarity(preds, clause) -> Column:
         F.when(blank | failed, F.lit(0.0)).otherwise(F.round(top["score"].cast("double"), 4)).alias("polarity_score"))
 
 
+#: The end of wasn't, don't and the like, with the character behind it.
+CONTRACTED = "n['\u2019]t([^a-z]|$)"
+
+
 def lexicon_polarity(df: DataFrame, lexicon: DataFrame, key: str, text_col: str,
                      max_broadcast_rows: int = 5_000_000) -> DataFrame:
     """Signed lexicon score with intensifier and negation context.
@@ -230,9 +234,11 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, key: str, text_col: str,
     hits are found by an equi-join with the (size-checked broadcast) lexicon
     (entry, sign), and summed per review with partial aggregation.
     Token weight = sign * 2 if the previous token is an intensifier, negated
-    when one of the two previous tokens is a negation. Output: (key, score, polarity).
+    when one of the two previous tokens is a negation; a contracted one
+    (``wasn't``) counts as its verb and ``not``. Output: (key, score, polarity).
     """
-    toks = F.filter(F.split(F.lower(F.col(text_col)), r"[^a-z]+"), lambda x: x != "")
+    spelt = F.regexp_replace(F.lower(F.col(text_col)), CONTRACTED, " not$1")
+    toks = F.filter(F.split(spelt, r"[^a-z]+"), lambda x: x != "")
     nul = F.lit(None).cast("string")
     # each token zipped with its two predecessors (shifted copies of the array)
     ctx = F.arrays_zip(toks.alias("entry"), F.concat(F.array(nul), toks).alias("p1"),

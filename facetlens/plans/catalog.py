@@ -184,6 +184,19 @@ def q_clean_pages(spark, sf):
     return tbl(spark, sf, "pages").select("page_id", T.clean_text(F.concat_ws(" ", "url", "html")).alias("clean"))
 
 
+@query("sql_functions", f"""
+SELECT doc_id, {S.clean('text')} AS cleaned, {S.strip('lower(lang)')} AS lang,
+       length({S.strip("lower(text)")}) AS n_normal FROM documents WHERE {S.clean('text')} <> ''
+""")
+def q_sql_functions(spark, sf):
+    from facetlens.functions.sqlnames import register_sql_functions
+
+    register_sql_functions(spark)
+    tbl(spark, sf, "documents").createOrReplaceTempView("named_documents")
+    return spark.sql("SELECT doc_id, clean_text(text) AS cleaned, normalize_text(lang) AS lang, "
+                     "length(normalize_text(text)) AS n_normal FROM named_documents WHERE clean_text(text) <> ''")
+
+
 @query("normalize_text", f"""
 SELECT doc_id, {S.strip('lower(text)')} AS norm FROM documents
 """)
@@ -693,9 +706,10 @@ def _sql_list(xs) -> str:
 
 
 @query("lexicon_polarity", f"""
-WITH tk AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS t
-            FROM documents),
-top AS (SELECT entry, count(*) AS n FROM (SELECT unnest(t) AS entry FROM tk WHERE lang = 'en')
+WITH tk AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w,
+            list_filter(regexp_split_to_array(regexp_replace(lower(text), 'n[''’]t([^a-z]|$)', ' not\\1', 'g'), '[^a-z]+'),
+                        lambda x: x <> '') AS t FROM documents),
+top AS (SELECT entry, count(*) AS n FROM (SELECT unnest(w) AS entry FROM tk WHERE lang = 'en')
         GROUP BY entry ORDER BY n DESC, entry LIMIT 40),
 lex AS (SELECT entry, CASE WHEN row_number() OVER (ORDER BY n DESC, entry) % 2 = 1 THEN 1 ELSE -1 END AS sign FROM top),
 u AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM tk),

@@ -39,3 +39,13 @@ def test_clauses_are_searched_behind_the_last_match(spark):
     assert got == {k: all(x in t for _, x in c) for k, t, c in rows}
     audit = CL.audit_clauses(df.select(F.col("k").alias("doc_id"), F.col("t").alias("text"))).where("doc_id = 1").first()
     assert audit.n_clauses == 3001 and audit.all_substrings and audit.no_blank
+
+
+def test_contracted_negation_turns_polarity(spark):
+    from facetlens.operators.classify import lexicon_polarity
+
+    texts = ["it was good", "it wasn't good", "isn’t that good", "Don'T", "the ant's good"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    lex = spark.createDataFrame([("good", 1)], "entry string, sign int")
+    got = {r.k: r.score for r in lexicon_polarity(docs, lex, "k", "t").collect()}
+    assert got == {0: 1, 1: -1, 2: -1, 3: 0, 4: 1}
