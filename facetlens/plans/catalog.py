@@ -1358,13 +1358,28 @@ def q_stream_counts(spark, sf):
                       F.col("w.end").cast("timestamp_ntz").alias("window_end"), "event_type", "n")
 
 
-@query("stream_progress")
+# windows that the watermark (two hours behind the last event) has closed
+@query("stream_closed", """
+WITH e AS (SELECT date_trunc('hour', ts) AS h, event_type FROM events),
+w AS (SELECT h AS window_start, event_type FROM e UNION ALL SELECT h - INTERVAL 1 HOUR, event_type FROM e)
+SELECT window_start, window_start + INTERVAL 2 HOUR AS window_end, event_type, count(*) AS n FROM w
+WHERE window_start + INTERVAL 2 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOUR FROM events) GROUP BY ALL
+""")
+def q_stream_closed(spark, sf):
+    from facetlens import streaming as ST
+    sdf = ST.read_stream(spark, f"{sf}/events.parquet", tbl(spark, sf, "events").schema)
+    out, _ = ST.run_available(ST.windowed_counts(sdf, "ts", "event_type", "2 hours", "2 hours", slide="1 hour"),
+                              "stream_closed", "append")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), "event_type", "n")
+
+
+@query("stream_progress", "SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS num_input_rows FROM events")
 def q_stream_progress(spark, sf):
     from facetlens import streaming as ST
-    ev = tbl(spark, sf, "events")
-    sdf = ST.read_stream(spark, f"{sf}/events.parquet", ev.schema)
-    _, progress = ST.run_available(sdf.select("event_id", "event_type"), "stream_progress", "append")
-    return ST.progress_frame(spark, [p for p in progress if p["numInputRows"] > 0])
+    sdf = ST.read_stream(spark, f"{sf}/events.parquet", tbl(spark, sf, "events").schema)
+    written, _ = ST.run_available(sdf.select("event_id", "event_type"), "stream_progress", "append", keep_batch=True)
+    return ST.batch_counts(written)
 
 
 # ============================================================ K. composed runs

@@ -1,2 +1,2 @@
 from facetlens.streaming.scoring import (  # noqa: F401
-    progress_frame, read_stream, run_available, score_stream, windowed_counts)
+    batch_counts, progress_frame, read_stream, run_available, score_stream, windowed_counts)

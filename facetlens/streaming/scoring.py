@@ -54,7 +54,7 @@ def _out_dirs(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{base}/streams/{run}/out", f"{base}/streams/{run}/checkpoint"
 
 
-def run_available(sdf: DataFrame, name: str, mode: str = "append"):
+def run_available(sdf: DataFrame, name: str, mode: str = "append", keep_batch: bool = False):
     """Run the stream over everything available now and return
     (result DataFrame read back from the sink, progress list).
 
@@ -62,7 +62,7 @@ def run_available(sdf: DataFrame, name: str, mode: str = "append"):
     complete: each batch overwrites ``out`` with the full result table
 
     Waits until all available input is processed; a failure of the stream is
-    raised here.
+    raised here. ``keep_batch`` leaves the batch number in an appended result.
     """
     spark = sdf.sparkSession
     # the progress list must keep every micro-batch, not only the last hundred
@@ -81,7 +81,17 @@ def run_available(sdf: DataFrame, name: str, mode: str = "append"):
     progress = q.recentProgress
     q.stop()
     result = spark.read.parquet(out)
-    return (result.drop("batch") if mode != "complete" else result), progress
+    return (result if mode == "complete" or keep_batch else result.drop("batch")), progress
+
+
+def batch_counts(written: DataFrame) -> DataFrame:
+    """(batch_id, num_input_rows) of a stateless stream's sink, counted from what each batch wrote.
+
+    ``written`` is the result of ``run_available(..., keep_batch=True)``. A
+    replayed batch overwrites its own rows, so it counts once; a batch that
+    wrote nothing has no row.
+    """
+    return written.groupBy(F.col("batch").cast("bigint").alias("batch_id")).agg(F.count(F.lit(1)).alias("num_input_rows"))
 
 
 def progress_frame(spark: SparkSession, progress: list) -> DataFrame:
