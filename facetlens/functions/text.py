@@ -73,14 +73,47 @@ def regex_literal(col) -> Column:
     return F.regexp_replace(_c(col), REGEX_PUNCT, r"\\$1")
 
 
+# Letters that differ from others only in case though ``lower`` keeps them apart
+# (dotless i, long s, final sigma, micro sign, variants of Greek and Cyrillic letters).
+CASE_VARIANTS = ("\u0131\u017f\u03c2\u00b5\u0345\u1fbe\u03d0\u03f5\u03d1\u03f0\u03d6\u03f1\u03d5"
+                 "\u1c80\u1c81\u1c82\u1c83\u1c84\u1c85\u1c86\u1c87\u1c88\u1e9b")
+CASE_LETTERS = "is\u03c3\u03bc\u03b9\u03b9\u03b2\u03b5\u03b8\u03ba\u03c0\u03c1\u03c6\u0432\u0434\u043e\u0441\u0442\u0442\u044a\u0463\ua64b\u1e61"
+
+
+def once(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once, however often ``fn`` reads it."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def folded(col) -> Column:
+    """Text with case removed letter by letter: two texts fold alike just when a
+    case-insensitive Unicode pattern takes one for the other."""
+    low = F.lower(F.replace(_c(col), F.lit("\u0130"), F.lit("i")))
+    return once(low, lambda x: F.when(x.rlike("[\u00b5\u0131-\u1fbe]"), F.translate(x, CASE_VARIANTS, CASE_LETTERS)).otherwise(x))
+
+
+def folded_word_in(term, text) -> Column:
+    """``whole_word_in`` for folded arguments: the pattern begins with the bare term,
+    which is searched for without looking at every word boundary on the way."""
+    def found(t: Column) -> Column:
+        return F.regexp_like(_c(text), F.concat(F.lit("(?U)"), t, F.lit(r"(?<=\b"), t, F.lit(r")\b")))
+
+    return once(regex_literal(term), found)
+
+
 def whole_word_in(term, text) -> Column:
     """Case-insensitive whole-word occurrence of ``term`` in ``text``.
 
     ``\\b`` on both sides, Unicode-aware word characters; a term that ends in
     punctuation therefore never matches (there is no boundary after ``!``).
     """
-    pattern = F.concat(F.lit(r"(?iU)\b"), regex_literal(term), F.lit(r"\b"))
-    return F.regexp_like(_c(text), pattern)
+    return folded_word_in(folded(term), folded(text))
+
+
+def whole_words_in(items, text) -> Column:
+    """The items of an array that occur in ``text`` as whole words; the text is folded once."""
+    return once(F.struct(_c(items).alias("items"), folded(text).alias("text")), lambda x: F.filter(
+        x["items"], lambda t: folded_word_in(folded(t), x["text"])))
 
 
 def split_terms(col, sep: str = ",") -> Column:

@@ -519,9 +519,12 @@ def q_demux_answers(spark, sf):
 @query("filter_opinions")
 def q_filter_opinions(spark, sf):
     d = tbl(spark, sf, "documents")
-    c = CL.split_clauses(d, "doc_id", "text").join(d.select("doc_id", "text"), "doc_id")
-    cand = F.concat(AN.first_word("clause"), F.lit(", "), F.col("clause"), F.lit(", zzqx"))
-    return c.select("doc_id", "clause_pos", AN.filter_opinions(cand, F.col("clause"), F.col("text")).alias("kept"))
+    # clauses stay in their review's row until its text has been searched
+    c = d.select("doc_id", CL.clause_array("text").alias("c")).join(d.select("doc_id", "text"), "doc_id")
+    cand = F.transform("c", lambda c: F.struct(F.concat(
+        AN.first_word(c["clause"]), F.lit(", "), c["clause"], F.lit(", zzqx")).alias("opinion"), c["clause"].alias("clause")))
+    kept = F.zip_with("c", AN.opinions_found(cand, F.col("text")), lambda c, k: F.struct(c["pos"].alias("clause_pos"), k.alias("kept")))
+    return c.select("doc_id", F.explode(kept).alias("k")).select("doc_id", "k.clause_pos", "k.kept")
 
 
 _LEX_TOK = "'" + CL.LEXICON_TOKEN_SPLIT.replace("'", "''") + "'"
