@@ -1,9 +1,13 @@
 """Reviews are searched and moved once a review, not once a clause."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from facetlens.functions.text import folded, whole_word_in, whole_words_in
 from facetlens.operators import answers as AN
+from facetlens.operators import classify as CF
+from facetlens.plans import runs as RU
 from facetlens.plans.catalog import QUERIES
 
 TERMS = ["room", "ROOM", "İstanbul", "straße", "STRASSE", "ΟΔΟΣ", "οδος", "ſo", "k", "c++", "a.b", "(very", "very)", "ét", "no one",
@@ -52,3 +56,14 @@ def test_filter_opinions_keeps_clauses_in_their_review(spark, tmp_path):
     plan = _plan(df)
     assert plan.index("Generate") < plan.index("Join")     # one row per clause only above the join with the text
     assert df.count() == 180
+
+
+def test_full_run_joins_clauses_without_their_review(spark, tmp_path):
+    _docs(spark, tmp_path)
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = RU.run_full(d.select("doc_id", "text"), "doc_id", "text", CF.fit_language_model(d), CF.fit_nb(d, "lang", CF.word_tokens("text")),
+                      CF.frequent_token_lexicon(d, "text", 5), split_backend=RU.RULES, opinion_backend=RU.RULES)
+    assert out.count() == 180 and out.where("sentence_original is null").count() == 0
+    by_clause = [x for x in re.split(r"\n", _plan(out)) if "Join" in x and "_ck" in x]
+    assert len(by_clause) == 2
+    assert "regexp_like" not in _plan(out)                  # opinions were checked before, once a review
