@@ -92,11 +92,11 @@ def folded(col) -> Column:
     return once(low, lambda x: F.when(x.rlike("[\u00b5\u0131-\u1fbe]"), F.translate(x, CASE_VARIANTS, CASE_LETTERS)).otherwise(x))
 
 
-def folded_word_in(term, text) -> Column:
-    """``whole_word_in`` for folded arguments: the pattern begins with the bare term,
-    which is searched for without looking at every word boundary on the way."""
+def _word_in(term, text, flags: str) -> Column:
+    """The pattern begins with the bare term, which is searched for without looking
+    at every word boundary on the way."""
     def found(t: Column) -> Column:
-        return F.regexp_like(_c(text), F.concat(F.lit("(?U)"), t, F.lit(r"(?<=\b"), t, F.lit(r")\b")))
+        return F.regexp_like(_c(text), F.concat(F.lit(flags), t, F.lit(r"(?<=\b"), t, F.lit(r")\b")))
 
     return once(regex_literal(term), found)
 
@@ -107,13 +107,14 @@ def whole_word_in(term, text) -> Column:
     ``\\b`` on both sides, Unicode-aware word characters; a term that ends in
     punctuation therefore never matches (there is no boundary after ``!``).
     """
-    return folded_word_in(folded(term), folded(text))
+    return _word_in(term, text, "(?iU)")
 
 
 def whole_words_in(items, text) -> Column:
-    """The items of an array that occur in ``text`` as whole words; the text is folded once."""
+    """The items of an array that occur in ``text`` as whole words. The text is folded
+    once, so that many items are searched for without regard to case."""
     return once(F.struct(_c(items).alias("items"), folded(text).alias("text")), lambda x: F.filter(
-        x["items"], lambda t: folded_word_in(folded(t), x["text"])))
+        x["items"], lambda t: _word_in(folded(t), x["text"], "(?U)")))
 
 
 def split_terms(col, sep: str = ",") -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetlens.functions.text import (END_MARKER, split_terms, strip_markers, strip_ws,
-                                      whole_words_in)
+                                      whole_word_in)
 from facetlens.session import sized_broadcast
 
 # The conjunctions clauses are cut at (rule 2 of the split task).
@@ -180,7 +180,8 @@ def split_and_refine(df: DataFrame, key: str, sentence_col: str, resp_col: str =
 def validated_list(resp, sentence, label: str, joiner: str = ", ") -> Column:
     """Markers off, split on ',', keep whole-word (case-insensitive) matches
     in ``sentence``, join with ``joiner``."""
-    return F.array_join(whole_words_in(split_terms(strip_markers(resp, label)), sentence), joiner)
+    items = split_terms(strip_markers(resp, label))
+    return F.array_join(F.filter(items, lambda t: whole_word_in(t, sentence)), joiner)
 
 
 def parse_terms(df: DataFrame, sentence_col: str, resp_col: str = "response") -> DataFrame:
