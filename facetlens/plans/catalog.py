@@ -549,7 +549,7 @@ SELECT doc_id, coalesce(n_hits, 0) AS n_hits, coalesce(hits, '') AS hits FROM do
 """)
 def q_match_lexicon(spark, sf):
     d = tbl(spark, sf, "documents")
-    lex = CL.frequent_lexicon(CL.lexicon_grams(d.where(F.col("lang") == "en"), "doc_id", "text"), 30, 10)
+    lex = CL.frequent_lexicon(d.where(F.col("lang") == "en"), "text", 30, 10)
     return CL.match_lexicon(d, lex, "doc_id", "text")
 
 

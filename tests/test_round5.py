@@ -1,9 +1,13 @@
 """Work done once a row, or over few words, instead of over every feature of every row."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from facetlens.operators import classify as CF
+from facetlens.operators import clauses as CL
 
 LANGS = [(1, "The room was clean", "en"), (2, "Das Zimmer war sauber", "de"), (3, "El cuarto 你好 limpio", "es"), (4, "İstanbul ΟΔΟΣ", "es"),
          (5, "", "en"), (6, None, "de"), (7, " \n", "en"), (8, "ab", "de"), (1, "the staff", "en"), (None, "war sauber", None), (9, "🙂🙂 ok", "de")]
@@ -47,3 +51,35 @@ def test_trigram_slices_keep_whole_texts():
     got = [(first + int(r), t) for first, _, of, keys in CF.trigram_slices(pa.array(texts), 8) for r, t in zip(of, CF.trigram_text(keys))]
     assert got == [(i, (t or "")[j:j + 3]) for i, t in enumerate(texts) for j in range(len(t or "") - 2)]
     assert np.array_equal(CF.trigram_keys(["abc"]), next(iter(CF.trigram_slices(pa.array(["abc"]))))[3])
+
+
+def _brute_lexicon(texts, k_uni, k_bi):
+    uni, bi = {}, {}
+    for t in texts:
+        w = [x for x in re.split(r"[^\w']+|_", (t or "").lower()) if x]
+        for x in w:
+            uni[x] = uni.get(x, 0) + 1
+        for x in zip(w, w[1:]):
+            bi[" ".join(x)] = bi.get(" ".join(x), 0) + 1
+    best = lambda c, k: sorted(c, key=lambda x: (-c[x], x))[:k]
+    return sorted({*best(uni, k_uni), *best(bi, k_bi)})
+
+
+@pytest.mark.parametrize("first, most", [(1, 2000), (3, 2000), (500, 2000), (2, 1), (500, 0)])
+def test_bigrams_of_rarer_words_are_counted_when_they_can_be_frequent(spark, first, most):
+    # the commonest words stand alone; the commonest bigrams are of rarer words
+    texts = ["the! the? the. the", "red house red house red house", "the green door", "green door's red house", None, "", "a a a a"] + ["the"] * 9
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = sorted(r.entry for r in CL.frequent_lexicon(df, "text", 2, 3, first, most).collect())
+    assert got == _brute_lexicon(texts, 2, 3)
+
+
+def test_lexicon_is_looked_for_inside_the_rows(spark):
+    docs = [(1, "Red house, the RED door"), (1, "red"), (2, None), (3, ""), (None, "red house"), (4, "the house red")]
+    df = spark.createDataFrame(docs, "k int, text string")
+    lex = spark.createDataFrame([("Red",), ("red house",), ("the",), (None,), ("the",)], "entry string")
+    fast = CL.match_lexicon(df, lex, "k")
+    assert "lambdafunction(lambda" in _plan(fast) and "Join Inner" not in _plan(fast)
+    rows = lambda d: sorted((r.k or 0, r.n_hits, r.hits) for r in d.collect())
+    assert rows(fast) == rows(CL.match_lexicon(df, lex, "k", max_listed=0))
+    assert (4, 2, "the, red") in rows(fast) and (0, 0, "") in rows(fast)
