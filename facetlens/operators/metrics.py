@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetlens.functions.stem import porter_stems
+from facetlens.functions.stem import porter_stem
 from facetlens.functions.text import normalize, strip_ws
 from facetlens.session import cut_lineage
 
@@ -120,31 +120,52 @@ def lcs_bits(a: list[str], b: list[str], block: int = 4096) -> int:
     return total
 
 
-def stemmed_tokens(rows: DataFrame, key: str, cols: list[str], broadcast_bytes: int = 64 << 20, salts: int = 16) -> DataFrame:
+def stemmed_tokens(rows: DataFrame, key: str | list[str], cols: list[str], broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(key, cols): the token arrays ``cols`` with words of over three letters replaced by their Porter stems.
 
-    Only distinct words are stemmed, and only stems that differ from their word
-    are looked up: broadcast up to ``broadcast_bytes`` of them, else joined with
-    every word dealt over ``salts`` parts, since a few words make up much of any text.
+    Tokens never leave their row. Distinct words are stemmed, and stems that differ from their word are sent
+    to every task up to ``broadcast_bytes`` of them. Beyond that, the words found in most rows are sent with their
+    stems, about as many bytes, and each row's other distinct words are stemmed in the row.
     """
-    def tagged(side: int, c: str) -> Column:
-        return F.transform(F.col(c), lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), x.alias("word")))
-
-    tokens = F.concat(*[tagged(k, c) for k, c in enumerate(cols)])
-    long = rows.select(key, F.explode(tokens).alias("t")).select(key, "t.*")
-    words = long.select("word").where(F.length("word") > 3).distinct()
-    stems = cut_lineage(porter_stems(words)).where("stem <> word")
-    size = stems.agg(F.sum(F.length("word") + F.length("stem") + 64)).first()[0] or 0
+    keys = [key] if isinstance(key, str) else key
+    spark = rows.sparkSession
+    long = F.array_distinct(F.filter(F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in cols]), lambda x: F.length(x) > 3))
+    counts = rows.select(F.explode(long).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    stems = cut_lineage(counts.select("n", "word", porter_stem("word").alias("stem")))
+    bytes_ = F.sum(F.length("word") + F.length("stem") + 64)
+    size = stems.where("stem <> word").agg(bytes_).first()[0] or 0
     if size <= broadcast_bytes:
-        found = long.join(F.broadcast(stems), "word", "left")
+        kept = stems.where("stem <> word")
     else:
-        dealt = stems.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        found = long.withColumn("salt", F.pmod(F.xxhash64(key, "pos"), F.lit(salts)).cast("int")).join(
-            dealt, ["word", "salt"], "left")
-    token = F.struct("pos", F.coalesce("stem", "word").alias("word"))
-    return found.groupBy(key).agg(*[
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == k, token))), lambda t: t["word"]).alias(c)
-        for k, c in enumerate(cols)])
+        share = broadcast_bytes / stems.agg(bytes_).first()[0]
+        kept = stems.where(F.col("n") > stems.agg(F.percentile_approx("n", F.lit(1 - share))).first()[0]) if share else stems.limit(0)
+    t = kept.select("word", "stem").toArrow()
+    sent = spark.sparkContext.broadcast(dict(zip(t.column("word").to_pylist(), t.column("stem").to_pylist())))
+
+    @F.pandas_udf("array<string>")
+    def replaced(tokens: pd.Series) -> pd.Series:
+        known = sent.value
+        return pd.Series([None if t is None else [known.get(x, x) for x in t] for t in tokens], dtype=object)
+
+    if size <= broadcast_bytes:
+        return rows.select(*keys, *[replaced(c).alias(c) for c in cols])
+
+    @F.pandas_udf("array<string>")
+    def others(words: pd.Series) -> pd.Series:
+        known = sent.value
+        return pd.Series([[x for x in w if x not in known] for w in words], dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def looked_up(tokens: pd.Series, words: pd.Series, stems: pd.Series) -> pd.Series:
+        known, out = sent.value, []
+        for t, w, s in zip(tokens, words, stems):
+            own = dict(zip(w, s))
+            out.append(None if t is None else [own[x] if x in own else known.get(x, x) for x in t])
+        return pd.Series(out, dtype=object)
+
+    own = rows.select(*keys, *cols, others(long).alias("_w"))
+    own = own.select("*", F.transform("_w", porter_stem).alias("_s"))
+    return own.select(*keys, *[looked_up(c, "_w", "_s").alias(c) for c in cols])
 
 
 def lcs_lengths():
@@ -161,16 +182,11 @@ def rouge_pairs(df: DataFrame, g: str, p: str) -> DataFrame:
     from facetlens.session import ship_package
 
     ship_package(df.sparkSession)
-    pairs = df.groupBy(F.coalesce(g, F.lit("")).alias("_g"), F.coalesce(p, F.lit("")).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
-    # a text may hold any character: the length keeps the two apart
-    key = F.sha2(F.concat(F.length("_g").cast("string"), F.lit(":"), "_g", "_p"), 256)
-    pairs = cut_lineage(pairs.withColumn("_key", key))
-    toks = stemmed_tokens(pairs.select("_key", *[rouge_tokens(c).alias(c) for c in ("_g", "_p")]), "_key", ["_g", "_p"])
-    scored = toks.select("_key", (F.size("_g") + F.size("_p")).cast("double").alias("_n"), lcs_lengths()("_g", "_p").alias("_l"))
-    # 2 PR / (P + R) = 2 L / (|g| + |p|); a pair without any token has no scored row
-    return pairs.join(scored, "_key", "left").select(
-        F.col("_g").alias(g), F.col("_p").alias(p), "n",
-        F.coalesce(F.try_divide(2 * F.col("_l"), F.col("_n")), F.lit(0.0)).alias("rouge_l"))
+    pairs = cut_lineage(df.groupBy(F.coalesce(g, F.lit("")).alias("_g"), F.coalesce(p, F.lit("")).alias("_p")).agg(F.count(F.lit(1)).alias("n")))
+    toks = stemmed_tokens(pairs.select("*", rouge_tokens("_g").alias("_gt"), rouge_tokens("_p").alias("_pt")), ["_g", "_p", "n"], ["_gt", "_pt"])
+    # 2 PR / (P + R) = 2 L / (|g| + |p|); a pair without any token scores 0
+    f = F.try_divide(2 * lcs_lengths()("_gt", "_pt"), (F.size("_gt") + F.size("_pt")).cast("double"))
+    return toks.select(F.col("_g").alias(g), F.col("_p").alias(p), "n", F.coalesce(f, F.lit(0.0)).alias("rouge_l"))
 
 
 def rouge_l_stemmed(df: DataFrame, g: str, p: str) -> DataFrame:

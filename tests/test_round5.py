@@ -8,6 +8,7 @@ import pytest
 
 from facetlens.operators import classify as CF
 from facetlens.operators import clauses as CL
+from facetlens.operators import metrics as ME
 
 LANGS = [(1, "The room was clean", "en"), (2, "Das Zimmer war sauber", "de"), (3, "El cuarto 你好 limpio", "es"), (4, "İstanbul ΟΔΟΣ", "es"),
          (5, "", "en"), (6, None, "de"), (7, " \n", "en"), (8, "ab", "de"), (1, "the staff", "en"), (None, "war sauber", None), (9, "🙂🙂 ok", "de")]
@@ -83,3 +84,13 @@ def test_lexicon_is_looked_for_inside_the_rows(spark):
     rows = lambda d: sorted((r.k or 0, r.n_hits, r.hits) for r in d.collect())
     assert rows(fast) == rows(CL.match_lexicon(df, lex, "k", max_listed=0))
     assert (4, 2, "the, red") in rows(fast) and (0, 0, "") in rows(fast)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 150, 0])
+def test_tokens_are_stemmed_in_their_row(spark, broadcast_bytes):
+    rows = [(1, ["cleaning", "the", "rooms", "rooms"], ["friendly"]), (1, [], None), (2, ["cleaned"], ["news", "sky"])]
+    df = spark.createDataFrame(rows, "k int, g array<string>, p array<string>").where("p is not null")
+    out = ME.stemmed_tokens(df, "k", ["g", "p"], broadcast_bytes=broadcast_bytes)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan        # no token is shuffled
+    assert sorted(map(tuple, out.collect())) == [(1, ["clean", "the", "room", "room"], ["friendli"]), (2, ["clean"], ["news", "sky"])]
