@@ -94,7 +94,7 @@ def nb_of_counts(df: DataFrame, label_col: str, counts: DataFrame, alpha: float
     wide = counts.groupBy("feature").pivot("label", labels).agg(F.first("c"))
     table = wide.select("feature", *[
         F.coalesce(F.log((F.col(f"`{l}`") + alpha) / F.lit(denom[l])), F.lit(defaults[l])).alias(f"lp_{i}")
-        for i, l in enumerate(labels)])
+        for i, l in enumerate(labels)]).cache()
     return NBModel(labels, priors, defaults, table, stats)
 
 
@@ -190,12 +190,11 @@ def predict_trigrams(model: NBModel, df: DataFrame, key: str, text_col: str, max
     """``predict_nb`` over the trigrams of ``text_col``: summed inside each row by Arrow batches, with the table
     sent to every task. A table of over ``max_table_bytes`` is joined with the exploded trigrams instead."""
     k = len(model.labels)
-    table = model.table.cache()
-    if 8 * (k + 1) * table.count() > max_table_bytes:
+    if 8 * (k + 1) * model.table.count() > max_table_bytes:
         return predict_nb(model, df, key, char_trigrams(text_col))
     spark = df.sparkSession
     ship_package(spark)
-    t = table.toArrow()
+    t = model.table.toArrow()
     sent = spark.sparkContext.broadcast((trigram_keys(t.column("feature").to_pylist()),
                                          [t.column(model.col(i)).to_numpy() for i in range(k)]))
 

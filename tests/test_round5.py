@@ -9,6 +9,7 @@ import pytest
 from facetlens.operators import classify as CF
 from facetlens.operators import clauses as CL
 from facetlens.operators import metrics as ME
+from facetlens.plans import runs as RU
 
 LANGS = [(1, "The room was clean", "en"), (2, "Das Zimmer war sauber", "de"), (3, "El cuarto 你好 limpio", "es"), (4, "İstanbul ΟΔΟΣ", "es"),
          (5, "", "en"), (6, None, "de"), (7, " \n", "en"), (8, "ab", "de"), (1, "the staff", "en"), (None, "war sauber", None), (9, "🙂🙂 ok", "de")]
@@ -94,3 +95,38 @@ def test_tokens_are_stemmed_in_their_row(spark, broadcast_bytes):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan        # no token is shuffled
     assert sorted(map(tuple, out.collect())) == [(1, ["clean", "the", "room", "room"], ["friendli"]), (2, ["clean"], ["news", "sky"])]
+
+
+def _reviews(spark):
+    words = {"en": "room clean staff rude", "de": "zimmer sauber personal unfreundlich"}
+    rows = [(2 * i + (l == "de"), f"{words[l]} {words[l].split()[i % 4]} n{i % 7}", l) for i in range(40) for l in words]
+    return spark.createDataFrame(rows + [(99, None, "en"), (98, "one", "de"), (97, " ", "en")], "k int, text string, lang string")
+
+
+def test_training_reads_the_split_once(spark):
+    fitted = RU.fit_category(_reviews(spark), "k", "text", "lang")
+    plan = _plan(fitted.test_predictions)
+    assert "Window" not in plan and "split" in plan             # written before, not split again in every branch
+    report = {r.label: (r.label_id, r.n_train, r.n_test, r.test_accuracy) for r in RU.category_report(fitted, "lang").collect()}
+    assert report == {"de": (0, 36, 4, 1.0), "en": (1, 36, 4, 1.0)}
+
+
+def test_regression_reads_texts_once(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+
+    kept, plain = [], CF.cut_lineage
+    monkeypatch.setattr(CF, "cut_lineage", lambda df: kept.append(df.columns) or plain(df))
+    df = _reviews(spark).where("text is not null")
+    model = CF.fit_text_lr(df, "text", "lang", num_features=64)
+    assert kept == [["_label", "_tf"]]
+    again = Pipeline(stages=[*model.stages[:3], _idf(), LogisticRegression(
+        featuresCol="_features", labelCol="_label", maxIter=30, regParam=0.01, family="multinomial")]).fit(df)
+    rows = lambda m: sorted((r.k, r.category, round(r.category_score, 6)) for r in CF.predict_text_lr(m, df, "k", "text").collect())
+    assert rows(model) == rows(again)
+
+
+def _idf():
+    from pyspark.ml.feature import IDF
+
+    return IDF(inputCol="_tf", outputCol="_features")
