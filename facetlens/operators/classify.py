@@ -426,21 +426,25 @@ def fit_text_lr(df: DataFrame, text_col: str, label_col: str, num_features: int
                 max_iter: int = 30, reg: float = 0.01):
     """Text classifier as a Spark ML pipeline: tokens -> hashed term counts ->
     IDF -> multinomial logistic regression. Labels are indexed alphabetically.
-    Hashing keeps the feature space fixed, so nothing grows with the vocabulary."""
-    from pyspark.ml import Pipeline
+    Hashing keeps the feature space fixed, so nothing grows with the vocabulary. Returns the fitted pipeline."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
 
-    stages = [
-        StringIndexer(inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc",
-                      handleInvalid="skip"),
-        RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+", toLowercase=True),
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=max_iter, regParam=reg,
-                           family="multinomial"),
-    ]
-    return Pipeline(stages=stages).fit(df.where(F.col(label_col).isNotNull()))
+    rows = df.where(F.col(label_col).isNotNull())
+    indexer = StringIndexer(inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc",
+                            handleInvalid="skip").fit(rows)
+    tokens = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+", toLowercase=True)
+    tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
+    # texts are read once; every pass of the optimizer reads the counts, and each of their partitions sends a dense
+    # gradient: a few partitions a core, more only for tables of many partitions
+    counted = cut_lineage(tf.transform(tokens.transform(indexer.transform(rows))).select("_label", "_tf"))
+    parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, counted.rdd.getNumPartitions() // 8)
+    counted = counted.coalesce(parts)
+    idf = IDF(inputCol="_tf", outputCol="_features").fit(counted)
+    lr = LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=max_iter, regParam=reg,
+                            family="multinomial").fit(idf.transform(counted))
+    return PipelineModel(stages=[indexer, tokens, tf, idf, lr])
 
 
 def predict_text_lr(model, df: DataFrame, key: str, text_col: str) -> DataFrame:

@@ -25,6 +25,7 @@ from facetlens.operators import reporting as RP
 from facetlens.operators.model_stage import RuleBackend, run_model
 from facetlens.plans import fixtures as FX
 from facetlens.plans import sqlfrag as S
+from facetlens.session import cut_lineage
 from facetlens.sources import readers as RD
 from facetlens.sources import sinks as SK
 
@@ -1447,7 +1448,7 @@ def q_train_run(spark, sf):
 @query("lr_category")
 def q_lr_category(spark, sf):
     d = tbl(spark, sf, "documents")
-    split = CF.stratified_split(d.select("doc_id", "text", "lang"), "lang", "doc_id", 0.1, 42)
+    split = cut_lineage(CF.stratified_split(d.select("doc_id", "text", "lang"), "lang", "doc_id", 0.1, 42))
     model = CF.fit_text_lr(split.where(F.col("split") == "train"), "text", "lang")
     test = split.where(F.col("split") == "test")
     pred = CF.predict_text_lr(model, test, "doc_id", "text").join(test.select("doc_id", "lang"), "doc_id")
