@@ -119,6 +119,46 @@ class SortedLists:
         pick = np.lexsort((self.ids[rows], -exact))[:k]
         return self.ids[rows][pick], exact[pick], depth
 
+    def top_many(self, queries: np.ndarray, own: np.ndarray, k: int, shares=(0.125, 0.5)):
+        """``top`` of every row of ``queries``: the lists are read to the same depth for all of them, and sums over
+        what was read are products of matrices. Queries leave when few rows can still qualify; lists are read
+        to the end for the others. Yields (place in queries, ids, scores)."""
+        n, v = len(self.ids), self.vectors
+        # products and their sums must be exact as doubles
+        if float(np.abs(v).max()) * float(np.abs(queries).max()) * v.shape[1] >= 2.0 ** 53:
+            for i, q in enumerate(queries):
+                yield (i, *self.top(q, int(own[i]), k)[:2])
+            return
+        v = v.astype(np.float64)
+        rank = np.empty(v.shape, np.int32)
+        np.put_along_axis(rank, self.order, np.arange(n, dtype=np.int32)[:, None], axis=0)
+        least, most = self.values[0].astype(np.float64), self.values[-1].astype(np.float64)
+        left = np.arange(len(queries))
+        for depth in [*(d for d in (int(n * x) for x in shares) if d > 4 * k), n]:
+            q = queries[left].astype(np.float64)
+            pos, neg = np.maximum(q, 0).T, np.minimum(q, 0).T                  # read from the upper and from the lower end
+            if depth == n:
+                lower = upper = v @ q.T
+            else:
+                above, below = rank >= n - depth, rank < depth
+                known = np.where(above, v, 0) @ pos + np.where(below, v, 0) @ neg
+                # unread components lie between the list's last value and the value read last
+                unread = lambda high, low: (~above).astype(np.float64) @ (high[:, None] * pos) + (~below).astype(np.float64) @ (low[:, None] * neg)
+                upper = known + unread(self.values[n - depth].astype(np.float64), self.values[depth - 1].astype(np.float64))
+                lower = known + unread(least, most)
+            lower = np.where(self.ids[:, None] == own[left], -np.inf, lower)
+            kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(left), -np.inf)
+            can = upper >= kth
+            done = np.flatnonzero((can.sum(axis=0) <= max(4 * k, n // 64)) | (depth == n))
+            for j in done:
+                rows = np.flatnonzero(can[:, j] & (self.ids != own[left[j]]))
+                exact = self.vectors[rows] @ queries[left[j]]
+                pick = np.lexsort((self.ids[rows], -exact))[:k]
+                yield int(left[j]), self.ids[rows][pick], exact[pick]
+            left = np.delete(left, done)
+            if not len(left):
+                return
+
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, rows_per_block: int = 8192,
           queries_per_block: int = 256) -> DataFrame:
@@ -148,10 +188,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, rows_per_block: int
                     lists = SortedLists(np.frombuffer(b.column("ids")[r].as_py(), "<i8"),
                                         np.frombuffer(b.column("vectors")[r].as_py(), "<i8").reshape(-1, one["dim"]))
                 out = ([], [], [])
-                for own, q in zip(np.frombuffer(one["q_ids"], "<i8"),
-                                  np.frombuffer(one["q_vectors"], "<i8").reshape(-1, one["dim"])):
-                    ids, scores, _ = lists.top(q, int(own), k)
-                    out[0].extend([int(own)] * len(ids))
+                own = np.frombuffer(one["q_ids"], "<i8")
+                for i, ids, scores in lists.top_many(np.frombuffer(one["q_vectors"], "<i8").reshape(-1, one["dim"]), own, k):
+                    out[0].extend([int(own[i])] * len(ids))
                     out[1].extend(ids.tolist())
                     out[2].extend(scores.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out],

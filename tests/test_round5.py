@@ -130,3 +130,23 @@ def _idf():
     from pyspark.ml.feature import IDF
 
     return IDF(inputCol="_tf", outputCol="_features")
+
+
+@pytest.mark.parametrize("scale", [3, 300, 1 << 24])
+def test_lists_are_read_for_many_queries_at_once(scale):
+    from facetlens.llm.topk import SortedLists
+
+    rng = np.random.default_rng(scale % 97)
+    vectors = (rng.normal(size=(700, 6)) * scale).astype("<i8")
+    vectors[650:] = vectors[600:650]                      # equal rows
+    ids = np.concatenate([np.arange(690), np.arange(10)]).astype("<i8")      # repeated ids
+    queries = np.concatenate([vectors[:40], np.zeros((1, 6), "<i8")])
+    own = np.concatenate([ids[:40], [-5]])
+    lists = SortedLists(ids, vectors)
+    got = {i: (a.tolist(), b.tolist()) for i, a, b in lists.top_many(queries, own, 5)}
+    assert sorted(got) == list(range(41))
+    for i, q in enumerate(queries):
+        best = sorted((-int(s), int(x)) for s, x in zip(vectors @ q, ids) if x != own[i])[:5]
+        assert got[i] == ([x for _, x in best], [-s for s, _ in best])
+    few = SortedLists(ids[:3], vectors[:3])
+    assert [len(a) for _, a, _ in few.top_many(queries[:2], own[:2], 5)] == [2, 2]
