@@ -9,10 +9,11 @@ connected by links of Jaccard similarity ``share / 100`` or more:
    entries are shuffled, packed by shingle bucket.
 2. Similar classes form groups: in every shingle's run the class that meets
    the shingle earliest is a leader, each class asks the leader it meets most
-   often, and classes that full comparisons connect this way are one group.
-   Classes that ask the same leader in vain resemble each other too: they form
-   mixed groups, whose members are not yet connected. Large groups are cut
-   into parts.
+   often (at least half as often as linked sets of their sizes have to), and
+   classes that full comparisons connect this way are one group. Many classes
+   that ask the same leader in vain resemble each other too: they form mixed
+   groups, whose members are not yet connected; a few of them stay alone.
+   Large groups are cut into parts.
 3. The matrix holds one row per shingle and group: the union of the entries of
    the group's members, with the largest rest of a member behind its first shared
    entry and the members' size range. A query set meets a group only through the
@@ -154,9 +155,14 @@ def _least_overlap(n, m, share: int):
     return share * (n + m) / (100.0 + share)
 
 
+def _least_shared(n, m, share: int):
+    """Least common entries of the prefixes of linked sets of sizes n and m."""
+    return _least_overlap(n, m, share) - share * np.maximum(n, m) / 100 - 1
+
+
 def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequent: int = 200_000,
                        group_size: int = 64, broadcast_ids: int = 1_000_000,
-                       bucket_rows: int = 250_000, by_text: bool = False) -> DataFrame:
+                       bucket_rows: int = 250_000, mixed_from: int = 9, by_text: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
     ``by_text`` adds ``text_key`` (hash of the text) and ``component`` (a hash that
@@ -165,6 +171,7 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
     ``frequent``: how many of the most frequent shingles get an exact rank (the
     order stays right without it, only slower). ``broadcast_ids``: ids of
     documents to compare are broadcast up to this count and shuffled beyond it.
+    ``mixed_from``: so many classes form a mixed group; fewer meet one by one.
     """
     spark = docs.sparkSession
     python_ready(spark)
@@ -247,8 +254,10 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
                 for k in filled:
                     at = by[cuts[k]:cuts[k + 1]]
                     o = owner[at]
-                    payload.append((key[at] >> np.uint64(32)).astype("<u4").tobytes() + sid[o].astype("<i8").tobytes()
-                                   + per[o].astype("<u4").tobytes() + pos[at].astype("<u4").tobytes())
+                    wide = 2 if per[o].max() < 1 << 16 else 4   # bytes of a size or place
+                    payload.append(bytes([wide]) + (key[at] >> np.uint64(32)).astype("<u4").tobytes()
+                                   + sid[o].astype("<i8").tobytes() + per[o].astype(f"<u{wide}").tobytes()
+                                   + pos[at].astype(f"<u{wide}").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(payload, pa.binary())],
                                                  names=["bucket", "payload"])
 
@@ -257,11 +266,12 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
 
         tok, sid, n, pos = [], [], [], []
         for p in pdf["payload"]:
-            k = len(p) // 20
-            tok.append(np.frombuffer(p, "<u4", k))
-            sid.append(np.frombuffer(p, "<i8", k, 4 * k))
-            n.append(np.frombuffer(p, "<u4", k, 12 * k))
-            pos.append(np.frombuffer(p, "<u4", k, 16 * k))
+            wide = p[0]
+            k = len(p) // (12 + 2 * wide)
+            tok.append(np.frombuffer(p, "<u4", k, 1))
+            sid.append(np.frombuffer(p, "<i8", k, 1 + 4 * k))
+            n.append(np.frombuffer(p, f"<u{wide}", k, 1 + 12 * k))
+            pos.append(np.frombuffer(p, f"<u{wide}", k, 1 + (12 + wide) * k))
         tok, sid, n, pos = (np.concatenate(x) for x in (tok, sid, n, pos))
         n, pos = n.astype(np.int64), pos.astype(np.int64)
         some = np.argsort(tok, kind="stable")      # most shingles occur once: drop them first
@@ -279,7 +289,7 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
         o = np.lexsort((sid, n, pos, tok))
         tok, sid, n, pos = tok[o], sid[o], n[o], pos[o]
         if not len(tok):
-            return pd.DataFrame({"token": [], "sid": [], "n": [], "rest": [], "leader": []})
+            return pd.DataFrame({"token": [], "sid": [], "n": [], "rest": [], "leader": [], "needed": [], "least": []})
         start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
         size = np.diff(np.concatenate([start, [len(tok)]]))
         lead = np.repeat(start, size)
@@ -287,15 +297,24 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
         near = 100 * np.minimum(n, n[lead]) >= share * np.maximum(n, n[lead])
         fits = near & (np.minimum(rest, rest[lead]) >= _least_overlap(n, n[lead], share)) & (lead != np.arange(len(tok)))
         leader = np.where(fits, sid[lead], sid)
-        # a run of two whose sizes cannot link is settled; only the first shared entry of a linked
-        # pair has to fit, and the counts below need all of them
-        keep = np.repeat((size > 2) | near[np.minimum(start + 1, len(near) - 1)], size)
+        # linked sets of sizes n and m share so many entries of their prefixes (one less allows for two
+        # shingles with one 32-bit name): most for equal sizes, fewest for the smallest or largest m in reach
+        needed = _least_shared(n, n[lead], share)
+        run, span = np.repeat(np.arange(len(size)), size), int(n.max()) + 1
+        own = run * span + n
+        by_size = np.sort(own)
+        a = np.searchsorted(by_size, run * span - (-share * n // 100))
+        b = np.searchsorted(by_size, run * span + np.minimum(100 * n // share, span - 1), "right") - 1
+        keep = a < b   # others in reach: an entry without them is settled
+        small, large = (by_size[np.where(keep & (by_size[x] == own), x + d, x)] - run * span for x, d in ((a, 1), (b, -1)))
+        least = np.floor(np.minimum(_least_shared(n, small, share), _least_shared(n, large, share)))
         token = int(pdf["bucket"].iloc[0]) << 32 | tok.astype(np.int64)
         return pd.DataFrame({"token": token[keep], "sid": sid[keep], "n": n[keep], "rest": rest[keep],
-                             "leader": leader[keep]})
+                             "leader": leader[keep], "needed": needed[keep],
+                             "least": least[keep].astype(np.int64)})
 
     runs = kept_table(texts.mapInArrow(prefixes, "bucket int, payload binary").groupBy("bucket").applyInPandas(
-        shared_runs, "token bigint, sid bigint, n bigint, rest bigint, leader bigint"))
+        shared_runs, "token bigint, sid bigint, n bigint, rest bigint, leader bigint, needed double, least int"))
 
     rep = classes.select("sid", F.col("rep").alias("doc_id"))
 
@@ -369,32 +388,41 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
             send, "gid bigint, part bigint, member boolean, tie bigint, sid bigint, tokens binary")
         return kept_table(sent.groupBy("gid", "part").applyInPandas(compare, "q bigint, m bigint"))
 
-    best = kept_table(runs.where("leader <> sid").groupBy("sid", "leader").agg(F.count(F.lit(1)).alias("times"))
-                      .groupBy("sid").agg(F.max_by("leader", F.struct("times", "leader")).alias("gid"))
-                      .select(F.col("sid").alias("q"), "gid"))
+    liked = kept_table(runs.where("leader <> sid").groupBy("sid", "leader")
+                       .agg(F.count(F.lit(1)).alias("times"), F.first("needed").alias("needed")).where("8 * times >= needed")
+                       .groupBy("sid").agg(F.max_by(F.struct(F.col("leader").alias("gid"), (2 * F.col("times") >= F.col("needed")).alias("asks")),
+                                                    F.struct("times", "leader")).alias("best"))
+                       .select(F.col("sid").alias("q"), "best.*"))
+    # a class that meets its leader less often does not ask: what it links to is found through the matrix
+    best = liked.where("asks").select("q", "gid")
     joined = open_groups(best, best.select(F.col("gid").alias("m"), "gid", F.col("gid").alias("tie")).distinct(), 64)
 
     # groups: the classes that links to leaders connect; of the others, those that leaders bring together
     group = kept_table(components(joined.select(F.col("q").alias("a"), F.col("m").alias("b")))
                        .select(F.col("node").alias("sid"), F.col("label").alias("group")))
-    alike = (components(best.select(F.col("q").alias("a"), F.col("gid").alias("b")))
+    alike = (components(liked.select(F.col("q").alias("a"), F.col("gid").alias("b")))
              .select(F.col("node").alias("sid"), F.col("label").alias("kin")))
-    each = (runs.groupBy("sid").agg(F.max("n").alias("n"), F.max("rest").alias("first_rest"))
+    each = (runs.groupBy("sid").agg(F.max("n").alias("n"), F.max("rest").alias("first_rest"), F.count(F.lit(1)).alias("entries"))
             .join(group, "sid", "left").join(alike, "sid", "left")
             .withColumn("mixed", F.col("group").isNull())
             .withColumn("kin", F.coalesce("group", "kin", "sid")))
     cuts = (each.groupBy("kin", "mixed").agg(F.count(F.lit(1)).alias("size"))
+            .withColumn("alone", F.col("mixed") & (F.col("size") < mixed_from))
             .withColumn("cuts", F.ceil(F.col("size") / group_size))
-            .withColumn("size", F.when(F.col("mixed"), F.floor(F.col("size") / F.col("cuts"))).otherwise(F.col("size"))))
-    gid = F.when((F.col("cuts") > 1) | F.col("mixed"), F.xxhash64("kin", "mixed", F.pmod(F.xxhash64("sid"), "cuts")))
+            .withColumn("size", F.when(F.col("alone"), F.lit(1).cast("bigint"))
+                        .when(F.col("mixed"), F.floor(F.col("size") / F.col("cuts"))).otherwise(F.col("size"))))
+    gid = (F.when(F.col("alone"), F.xxhash64("mixed", "sid"))
+           .when((F.col("cuts") > 1) | F.col("mixed"), F.xxhash64("kin", "mixed", F.pmod(F.xxhash64("sid"), "cuts"))))
     # of two groups the one with fewer classes asks: few queries meet the few unions of a large group
     place = F.struct("size", F.when(F.col("mixed"), F.col("gid")).otherwise(F.col("kin")).alias("name"))
     named = kept_table(each.join(cuts, ["kin", "mixed"]).withColumn("gid", gid.otherwise(F.col("kin"))).select(
-        "sid", "n", "first_rest", "gid", "mixed", place.alias("group"), F.coalesce("group", "sid").alias("tie")))
+        "sid", "n", "first_rest", "entries", "gid", "mixed", "alone", place.alias("group"), F.coalesce("group", "sid").alias("tie")))
     bounds = kept_table(named.groupBy("gid").agg(
         F.first("group").alias("other"), F.max("first_rest").alias("most"), F.min("n").alias("low"),
         F.max("n").alias("high"), (F.first("mixed") & (F.count(F.lit(1)) > 1)).alias("open")))
-    entry = kept_table(runs.select("token", "sid").join(named.select("sid", "n", "first_rest", "group", "gid"), "sid"))
+    # an entry is settled, too, if the class has fewer entries than a link to any class met there needs
+    entry = kept_table(runs.select("token", "sid", "least").join(named.select("sid", "n", "first_rest", "entries", "group", "gid"), "sid")
+                       .where("least <= entries").drop("least", "entries"))
     matrix = entry.select("token", "gid").distinct().join(bounds, "gid")
     low = F.greatest(F.col("low"), share * F.col("n") / 100)
     high = F.least(F.col("high"), 100 * F.col("n") / share)
@@ -408,7 +436,9 @@ def jaccard_components(docs: DataFrame, share: int = 75, width: int = 5, frequen
                     & (F.least("first_rest", "most") >= _least_overlap(F.col("n"), low, share)))
              .groupBy(F.col("sid").alias("q"), F.col("at").alias("gid"), needed.alias("needed"))
              .agg(F.count(F.lit(1)).alias("shared")).where("shared >= needed").select("q", "gid"))
-    open_ = kept_table(open_)
+    # classes that met as one asked the other have been compared
+    met = best.union(best.select("gid", "q")).toDF("q", "sid").join(named.where("alone").select("sid", "gid"), "sid")
+    open_ = kept_table(open_.join(met.select("q", "gid").distinct(), ["q", "gid"], "left_anti"))
     asked = open_.select("gid").distinct()
     links = joined.union(open_groups(open_, named.join(asked, "gid").select(F.col("sid").alias("m"), "gid", "tie"),
                                      4 * group_size))
