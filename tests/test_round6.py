@@ -65,6 +65,16 @@ def test_full_run_writes_no_review_text(setup, monkeypatch):
     assert set(ones) == {3, 6} and all(r.category is None and r.clause is None for r in ones.values())
 
 
+def test_scored_run_writes_and_joins_no_clauses(setup, monkeypatch):
+    df, _, cat, lex = setup
+    kept = _kept(monkeypatch)
+    out = RU.run_scored(df, "id", "text", cat, lex, split_backend=RU.RULES, opinion_backend=RU.RULES, batch_size=2)
+    assert kept == [["id"]] and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r.id, r.batch_id, r.item_no): (r.clause, r.category, r.polarity) for r in out.collect()}
+    assert rows[1, 0, 1] == ("The room wasn't clean", "en", "Positive") and rows[1, 1, 1] == ("no breakfast", "en", "Neutral")
+    assert rows[3, None, None] == rows[6, None, None] == (None, None, None)
+
+
 def test_shared_and_missing_keys_give_what_joins_give(spark, setup):
     df, lang, cat, lex = setup
     more = df.union(df.where("id = 1")).union(spark.createDataFrame([(None, "room, clean"), (None, "rude")], "id long, text string"))
@@ -74,3 +84,6 @@ def test_shared_and_missing_keys_give_what_joins_give(spark, setup):
         want = RU._full_joined(r.select("id", "text", "response", "status", "opinion"), "id", "text", cat, lex, RU.RULES, True)
         got = RU.run_full(d, "id", "text", lang, cat, lex, split_backend=RU.RULES, opinion_backend=RU.RULES)
         assert _rows(got) == _rows(want)
+    scored = RU.run_scored(more, "id", "text", cat, lex, split_backend=RU.RULES, opinion_backend=RU.RULES).collect()
+    assert not [r for r in scored if r.id is None]
+    assert len([r for r in scored if r.id == 1 and r.clause == "no breakfast"]) == 8    # of 2 reviews, with each of 2 texts, given each of 2
