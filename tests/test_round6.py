@@ -75,6 +75,19 @@ def test_scored_run_writes_and_joins_no_clauses(setup, monkeypatch):
     assert rows[3, None, None] == rows[6, None, None] == (None, None, None)
 
 
+def test_file_run_nests_clauses_where_they_are(spark, setup, tmp_path, monkeypatch):
+    df, _, cat, lex = setup
+    df.write.parquet(f"{tmp_path}/reviews")
+    kept = _kept(monkeypatch)
+    out = RU.run_file(spark, f"{tmp_path}/reviews", "parquet", cat, lex, split_backend=RU.RULES, opinion_backend=RU.RULES)
+    assert kept == [["review_id"]]                   # neither reviews nor clauses
+    lines = [x.strip() for x in out._jdf.queryExecution().executedPlan().toString().split("\n")]
+    at = next(i for i, x in enumerate(lines) if "(collect_list" in x.replace("[", "(") or "collect_list(" in x)
+    between = lines[at:next(i for i, x in enumerate(lines) if i > at and "posexplode" in x)]
+    assert not [x for x in between if "Exchange" in x]
+    assert sorted(len(r.aspects) for r in out.collect()) == [1, 2, 2, 3]
+
+
 def test_shared_and_missing_keys_give_what_joins_give(spark, setup):
     df, lang, cat, lex = setup
     more = df.union(df.where("id = 1")).union(spark.createDataFrame([(None, "room, clean"), (None, "rude")], "id long, text string"))
